@@ -44,3 +44,35 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SCHEMA = """
+CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT);
+CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER);
+CREATE TABLE benchmark (item_id BIGINT, text VARCHAR);
+CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER);
+CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR);
+CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR);
+"""
+
+
+def portable_sql(statements: dict[str, str]) -> dict[str, str]:
+    """The same widening and rounding as :func:`portable`, wrapped around each SQL text."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(SCHEMA)
+    out = {}
+    for name, sql in statements.items():
+        columns = []
+        for column, kind, *_ in con.execute(f"DESCRIBE {sql}").fetchall():
+            kind = kind.upper()
+            if kind in ("DOUBLE", "FLOAT") or kind.startswith("DECIMAL"):
+                columns.append(f'round("{column}"::DOUBLE, 6) AS "{column}"')
+            elif kind in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UINTEGER", "UBIGINT", "BIGINT"):
+                columns.append(f'"{column}"::BIGINT AS "{column}"')
+            else:
+                columns.append(f'"{column}"')
+        out[name] = f"SELECT {', '.join(columns)} FROM ({sql}) AS answer"
+    con.close()
+    return out
