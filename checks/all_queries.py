@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     q_search,
+    q_structure,
     q_text,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
