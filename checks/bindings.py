@@ -170,3 +170,29 @@ exchanges AS (
     FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND answer IS NOT NULL)
 """
+
+
+# One article per document whose list items are the pieces between full stops:
+# many short siblings in a row.
+ITEMIZED_SQL = """
+corpus AS (
+  SELECT 'd' || lpad(doc_id::VARCHAR, 8, '0') AS document_id, source AS category,
+         '<!-- PAGE: 1 -->' || chr(10) || 'Maddə 1. ' || source || chr(10) ||
+         array_to_string(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda x, i: 'a) ' || x), chr(10)) AS text
+  FROM documents)
+"""
+
+
+def itemized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), r"\. ", -1)
+    return documents(spark, sf_dir).select(
+        F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("document_id"),
+        F.col("source").alias("category"),
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".md")).alias("source_relative_path"),
+        F.concat(
+            F.lit("<!-- PAGE: 1 -->\nMaddə 1. "),
+            F.col("source"),
+            F.lit("\n"),
+            F.array_join(F.transform(pieces, lambda x: F.concat(F.lit("a) "), x)), "\n"),
+        ).alias("text"),
+    )

@@ -9,15 +9,16 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, relations, structure
 from corpusloom.plans import corpus
 
-from .bindings import structured
+from .bindings import ITEMIZED_SQL, STRUCTURED_SQL, WS, itemized, sql_count, sql_strip, structured
+from .q_structure import CLASSIFIED_SQL, LINES_SQL, NODES_SQL, PATHS_SQL, SPANS_SQL, kinds_sql
 from .registry import query
 
 _built: dict = {}
 
 
-def meta(spark, sf):
+def meta(spark, sf, docs=None):
     """Identified documents; the table's own key stays the identifier."""
-    docs = structured(spark, sf)
+    docs = structured(spark, sf) if docs is None else docs
     scores = tx.profile_scores(F.col("text"), F.col("category"), F.col("category"))
     return docs.select(
         "document_id",
@@ -45,6 +46,180 @@ def built(spark, sf) -> corpus.Corpus:
     return _built[key]
 
 
+
+CUT = 120
+ATOMS_SQL = f"""
+pieces AS (SELECT *, regexp_matches(t, '^(?:[#|>]|- |\* )') OR regexp_matches(t, '(?i)^(?:[0-9]+(?:[.-][0-9]+)*\.?|[a-zəçşıöüğ]\))[{WS}]+') AS s FROM owned WHERE node_line IS NOT NULL),
+glued AS (SELECT document_id, node_line, line_no, CASE WHEN lag(s) OVER w IS NULL THEN '' WHEN s OR lag(s) OVER w THEN chr(10) ELSE ' ' END || t AS piece
+   FROM pieces WINDOW w AS (PARTITION BY document_id, node_line ORDER BY line_no)),
+contents AS (SELECT document_id, node_line, {sql_strip("string_agg(piece, '' ORDER BY line_no)")} AS content, count(*) AS n_lines FROM glued GROUP BY ALL),
+kids AS (SELECT document_id, parent_line AS node_line FROM heads WHERE parent_line > 0 GROUP BY ALL),
+noded AS (SELECT l.*, c.content, c.n_lines, k.node_line IS NOT NULL AS has_children, p.kind AS parent_kind, p.title AS parent_title,
+   CASE WHEN p.kind IN ('clause', 'subclause', 'paragraph') THEN nullif(pc.content, '') END AS lead_in,
+   row_number() OVER (PARTITION BY l.document_id, l.kind, l.locator ORDER BY l.node_line) AS occurrence
+   FROM located l JOIN contents c USING (document_id, node_line) LEFT JOIN kids k USING (document_id, node_line)
+   LEFT JOIN heads p ON p.document_id = l.document_id AND p.node_line = l.parent_line
+   LEFT JOIN contents pc ON pc.document_id = l.document_id AND pc.node_line = l.parent_line),
+useful AS (SELECT n.*, c.category FROM noded n JOIN corpus c USING (document_id)
+   WHERE content <> '' AND kind <> 'table' AND NOT (has_children AND n_lines = 1 AND kind IN ('chapter', 'article', 'section', 'heading', 'annex'))),
+lead_words AS (SELECT document_id, node_line, i, w, sum({sql_count('w')}) OVER (PARTITION BY document_id, node_line ORDER BY i) AS cum
+   FROM (SELECT document_id, node_line, unnest(list_filter(string_split_regex(lead_in, '[{WS}]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(lead_in, '[{WS}]+'), lambda x: x <> ''), 1) AS i FROM useful WHERE lead_in IS NOT NULL)),
+lead_cut AS (SELECT document_id, node_line, string_agg(w, ' ' ORDER BY i) AS cut FROM lead_words WHERE i = 1 OR cum <= {CUT} GROUP BY ALL),
+prefixed AS (SELECT u.*, concat_ws(chr(10), 'Document: ' || category, 'Chapter: ' || chapter_label, 'Article: ' || article_label, 'Section: ' || section_label, 'Annex: ' || annex_label,
+     'Clause: ' || nullif(clause, ''), 'Subclause: ' || nullif(subclause, ''), 'Parent lead-in: ' || cut) AS prefix,
+   'unit_' || substr(sha256(document_id || chr(31) || kind || chr(31) || {sql_strip("locator || CASE WHEN occurrence > 1 THEN ' [occurrence ' || occurrence || ']' ELSE '' END")}), 1, 24) AS unit_id
+   FROM useful u LEFT JOIN lead_cut USING (document_id, node_line)),
+limits AS (SELECT *, {sql_count('prefix')} AS prefix_tokens, greatest(8, 450 - {sql_count('prefix')} - 3) AS budget FROM prefixed)
+"""
+
+
+def split_sql(src: str, keys: str) -> str:
+    """Greedy split of ``content`` rows of ``src(keys, content, prefix_tokens, budget)``: ``parts(keys, part_no, text, forced)``."""
+    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    a_keys = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    trimmed = sql_strip("x")
+
+    def cut(marks: str, after: str) -> str:
+        marked = f"regexp_replace(regexp_replace(content, '([{marks}])[{WS}]+({after})', '\\1' || chr(1) || '\\2', 'g'), '([{marks}])[{WS}]+({after})', '\\1' || chr(1) || '\\2', 'g')"
+        return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {trimmed}), lambda x: x <> '')"
+
+    sentences, clauses = cut(".!?…;:", "[A-ZƏÖÜİŞÇĞ0-9]"), cut(",;:", "[^" + WS + "]")
+    return f"""
+big AS (SELECT {keys}, content, budget FROM {src} WHERE prefix_tokens + 2 + {sql_count('content')} > 450),
+sents AS (SELECT {keys}, budget, CASE WHEN len({sentences}) = 1 THEN {clauses} ELSE {sentences} END AS l FROM big),
+sent AS (SELECT {keys}, budget, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM sents),
+counted_sent AS (SELECT *, {sql_count('t')} AS n FROM sent),
+hard_words AS (SELECT {keys}, i, budget, unnest(list_filter(string_split_regex(t, '[{WS}]+'), lambda x: x <> '')) AS w,
+   generate_subscripts(list_filter(string_split_regex(t, '[{WS}]+'), lambda x: x <> ''), 1) AS j FROM counted_sent WHERE n > budget),
+hard_sized AS MATERIALIZED (SELECT *, {sql_count('w')} AS c FROM hard_words),
+hard_walk AS (SELECT {keys}, i, j, 1 AS piece, c AS acc FROM hard_sized WHERE j = 1
+   UNION ALL SELECT {a_keys}, a.i, b.j, CASE WHEN a.acc + b.c > b.budget THEN a.piece + 1 ELSE a.piece END, CASE WHEN a.acc + b.c > b.budget THEN b.c ELSE a.acc + b.c END
+   FROM hard_walk a JOIN hard_sized b ON {on} AND a.i = b.i AND b.j = a.j + 1),
+hard_pieces AS (SELECT {keys}, i, piece, string_agg(w, ' ' ORDER BY j) AS t FROM hard_walk JOIN hard_sized USING ({keys}, i, j) GROUP BY {keys}, i, piece),
+units_raw AS (SELECT {keys}, budget, i, 0 AS piece, t, n, 0 AS hard FROM counted_sent WHERE n <= budget
+   UNION ALL SELECT {keys}, NULL, i, piece, t, 0, 1 FROM hard_pieces),
+units AS MATERIALIZED (SELECT * EXCLUDE (budget), max(budget) OVER (PARTITION BY {keys}) AS budget, row_number() OVER (PARTITION BY {keys} ORDER BY i, piece) AS u FROM units_raw),
+unit_walk AS (SELECT {keys}, u, 1 AS part_no, n AS acc, hard FROM units WHERE u = 1
+   UNION ALL SELECT {a_keys}, b.u, CASE WHEN a.hard = 1 OR b.hard = 1 OR a.acc + b.n > b.budget THEN a.part_no + 1 ELSE a.part_no END,
+     CASE WHEN a.hard = 1 OR b.hard = 1 OR a.acc + b.n > b.budget THEN b.n ELSE a.acc + b.n END, b.hard
+   FROM unit_walk a JOIN units b ON {on} AND b.u = a.u + 1),
+parts AS (SELECT {keys}, part_no, string_agg(t, ' ' ORDER BY u) AS text FROM unit_walk JOIN units USING ({keys}, u) GROUP BY {keys}, part_no
+   UNION ALL SELECT {keys}, 1, content FROM {src} WHERE prefix_tokens + 2 + {sql_count('content')} <= 450)
+"""
+
+
+def atoms_sql(corpus_sql: str = STRUCTURED_SQL, *extra: str) -> str:
+    parts = [corpus_sql, LINES_SQL, CLASSIFIED_SQL, kinds_sql(), NODES_SQL, PATHS_SQL, ATOMS_SQL, *extra]
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+@query(
+    "chunk_atoms",
+    atoms_sql() + " SELECT document_id, node_line, unit_id, locator, md5(content) AS content_md5, md5(coalesce(lead_in, '')) AS lead_in_md5, prefix_tokens FROM limits",
+)
+def chunk_atoms(spark, sf):
+    nodes = structure.parse(structured(spark, sf))
+    docs = meta(spark, sf)
+    units = chunking.atoms(nodes, docs).filter("table is null and split_index = 1")
+    prefix = F.split("embedding_text", "\nText: ", 2)[0]
+    body = nodes.select("document_id", "node_line", F.md5("content").alias("content_md5"))
+    return units.join(body, ["document_id", "node_line"]).select(
+        "document_id", "node_line", F.col("logical_unit_id").alias("unit_id"), "locator", "content_md5",
+        F.md5(F.coalesce("parent_lead_in", F.lit(""))).alias("lead_in_md5"), tx.tok_count(prefix).alias("prefix_tokens"),
+    )
+
+
+@query(
+    "txt_embedding_prefix",
+    atoms_sql() + " SELECT document_id, node_line, md5(prefix) AS prefix_md5 FROM limits",
+)
+def txt_embedding_prefix(spark, sf):
+    nodes = structure.parse(structured(spark, sf))
+    rows = nodes.filter(
+        (F.col("content") != "") & (F.col("kind") != "table")
+        & ~(F.col("has_children") & (F.col("line_count") == 1) & F.col("kind").isin(*chunking.CONTAINERS))
+    ).join(meta(spark, sf).select("document_id", "document_title"), "document_id")
+    cut = rows.withColumn("cut", chunking.lead_in_cut("lead_in", CUT))
+    return cut.select("document_id", "node_line", F.md5(chunking.embedding_prefix(F.col("cut"))).alias("prefix_md5"))
+
+
+@query(
+    "chunk_split",
+    atoms_sql(STRUCTURED_SQL, split_sql("limits", "document_id, node_line")) + " SELECT document_id, node_line, part_no, md5(text) AS text_md5 FROM parts",
+)
+def chunk_split(spark, sf):
+    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf)).filter("table is null")
+    return units.select("document_id", "node_line", F.col("split_index").alias("part_no"), F.md5("content").alias("text_md5"))
+
+
+@query("chunk_table_rows")
+def chunk_table_rows(spark, sf):
+    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf)).filter("table is not null")
+    return units.select(
+        "document_id", "node_line", "locator", "split_index", "split_count", "table.table_id", "table.row_start", "table.row_end",
+        "table.total_rows", F.array_join("table.column_headers", "~").alias("headers"), F.md5("content").alias("text_md5"), "token_count",
+    )
+
+
+def itemized_drafts(spark, sf):
+    docs = itemized(spark, sf)
+    return chunking.pack_siblings(chunking.atoms(structure.parse(docs), meta(spark, sf, docs)))
+
+
+PACK_SQL = split_sql("limits", "document_id, node_line") + f""",
+part_counts AS (SELECT document_id, node_line, count(*) AS split_count FROM parts GROUP BY ALL),
+unit_rows AS (SELECT p.document_id, p.node_line, p.part_no, p.text, pc.split_count, l.boundary_line, l.parent_line, l.locator, l.prefix_tokens + 2 + {sql_count('p.text')} AS tokens, {sql_count('p.text')} AS ctok,
+   {sql_count("'Document: ' || l.category || chr(10) || 'Hierarchy: ' || replace(l.heading_path, ' > ', chr(10))")} AS ptok,
+   row_number() OVER (PARTITION BY p.document_id ORDER BY p.node_line, p.part_no) AS a
+   FROM parts p JOIN part_counts pc USING (document_id, node_line) JOIN limits l USING (document_id, node_line)),
+short_rows AS MATERIALIZED (SELECT *, split_count = 1 AND tokens < 60 AS short FROM unit_rows),
+pack_walk AS (SELECT document_id, a, 1 AS chunk_no, short, boundary_line, parent_line, tokens AS t, ctok AS c, ptok AS p FROM short_rows WHERE a = 1
+   UNION ALL SELECT x.document_id, b.a,
+     CASE WHEN x.short AND b.short AND x.boundary_line = b.boundary_line AND x.parent_line = b.parent_line AND x.t < 180 AND x.p + 2 + x.c + b.ctok <= 450 THEN x.chunk_no ELSE x.chunk_no + 1 END,
+     b.short, b.boundary_line, b.parent_line,
+     CASE WHEN x.short AND b.short AND x.boundary_line = b.boundary_line AND x.parent_line = b.parent_line AND x.t < 180 AND x.p + 2 + x.c + b.ctok <= 450 THEN x.t + b.tokens ELSE b.tokens END,
+     CASE WHEN x.short AND b.short AND x.boundary_line = b.boundary_line AND x.parent_line = b.parent_line AND x.t < 180 AND x.p + 2 + x.c + b.ctok <= 450 THEN x.c + b.ctok ELSE b.ctok END,
+     CASE WHEN x.short AND b.short AND x.boundary_line = b.boundary_line AND x.parent_line = b.parent_line AND x.t < 180 AND x.p + 2 + x.c + b.ctok <= 450 THEN x.p ELSE b.ptok END
+   FROM pack_walk x JOIN short_rows b ON b.document_id = x.document_id AND b.a = x.a + 1),
+drafts AS MATERIALIZED (SELECT document_id, chunk_no, count(*) AS units, string_agg(text, chr(10) || chr(10) ORDER BY a) AS content, sum(ctok) AS ctok, min(w.boundary_line) AS boundary_line,
+   min(split_count) AS split_count FROM pack_walk w JOIN short_rows USING (document_id, a) GROUP BY ALL)
+"""
+
+
+@query(
+    "chunk_pack_siblings",
+    atoms_sql(ITEMIZED_SQL, PACK_SQL) + " SELECT document_id, chunk_no, units, md5(content) AS content_md5, CASE WHEN units > 1 THEN 'short_sibling_pack' WHEN split_count > 1 THEN 'oversized_split' ELSE 'atomic_leaf' END AS packing_reason FROM drafts",
+)
+def chunk_pack_siblings(spark, sf):
+    return itemized_drafts(spark, sf).select(
+        "document_id", "chunk_no", F.size("atomic_units").alias("units"), F.md5("content").alias("content_md5"), "packing_reason"
+    )
+
+
+PARENTS_SQL = """
+seg_walk AS (SELECT document_id, chunk_no, 1 AS segment, boundary_line, ctok AS t FROM drafts WHERE chunk_no = 1
+   UNION ALL SELECT x.document_id, b.chunk_no, CASE WHEN x.boundary_line = b.boundary_line AND x.t + b.ctok <= 1200 THEN x.segment ELSE x.segment + 1 END, b.boundary_line,
+     CASE WHEN x.boundary_line = b.boundary_line AND x.t + b.ctok <= 1200 THEN x.t + b.ctok ELSE b.ctok END
+   FROM seg_walk x JOIN drafts b ON b.document_id = x.document_id AND b.chunk_no = x.chunk_no + 1)
+"""
+
+
+@query(
+    "chunk_parents",
+    atoms_sql(ITEMIZED_SQL, PACK_SQL, PARENTS_SQL)
+    + " SELECT document_id, segment, count(*) AS children, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_no)) AS content_md5, sum(ctok) AS token_count FROM seg_walk JOIN drafts USING (document_id, chunk_no) GROUP BY ALL",
+)
+def chunk_parents(spark, sf):
+    docs = itemized(spark, sf)
+    facts = meta(spark, sf, docs)
+    nodes = structure.parse(docs)
+    segmented = chunking.parent_segments(chunking.pack_siblings(chunking.atoms(nodes, facts)))
+    _, parents = chunking.finish_chunks(segmented, nodes, facts)
+    return parents.select(
+        "document_id", "segment", F.size("child_chunk_ids").alias("children"), F.md5("content").alias("content_md5"), "token_count"
+    )
+
+
 @query("chunk_children")
 def chunk_children(spark, sf):
     c = built(spark, sf).children
