@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     q_chunks,
     q_quality,
     q_search,
+    q_store,
     q_structure,
     q_text,
 )

@@ -11,10 +11,7 @@ from corpusloom.plans import corpus
 
 from .bindings import ITEMIZED_SQL, STRUCTURED_SQL, WS, itemized, sql_count, sql_strip, structured
 from .q_structure import CLASSIFIED_SQL, LINES_SQL, NODES_SQL, PATHS_SQL, SPANS_SQL, kinds_sql
-from .registry import query
-
-_built: dict = {}
-
+from .registry import query, staged
 
 def meta(spark, sf, docs=None):
     """Identified documents; the table's own key stays the identifier."""
@@ -39,11 +36,7 @@ def meta(spark, sf, docs=None):
 
 
 def built(spark, sf) -> corpus.Corpus:
-    key = (id(spark), sf)
-    if key not in _built:
-        _built.clear()
-        _built[key] = corpus.build_corpus(meta(spark, sf))
-    return _built[key]
+    return corpus.build_corpus(meta(spark, sf), stage=lambda df, name: staged(spark, sf, f"corpus-{name}", lambda: df))
 
 
 

@@ -13,7 +13,7 @@ from .bindings import STRUCTURED_SQL, WS, documents, sql_count, structured
 from .q_chunks import atoms_sql, built, meta, split_sql
 from .q_structure import CLASSIFIED_SQL, DECISION_CORPUS, LINES_SQL, NODES_SQL, kinds_sql
 from .q_text import PROFILE_SQL, _canonical_sql
-from .registry import query
+from .registry import query, staged
 
 # Every text node stands for one chunk; its boundary is the parent.
 CHUNKS_SQL = f"""
@@ -22,8 +22,12 @@ chunks AS (SELECT document_id, document_id || ':' || node_line AS chunk_id, node
 """
 
 
+def parsed(spark, sf):
+    return staged(spark, sf, "parsed", lambda: structure.parse(structured(spark, sf)))
+
+
 def node_chunks(spark, sf):
-    nodes = structure.parse(structured(spark, sf))
+    nodes = parsed(spark, sf)
     kept = nodes.filter(
         (F.col("content") != "") & (F.col("kind") != "table")
         & ~(F.col("has_children") & (F.col("line_count") == 1) & F.col("kind").isin(*chunking.CONTAINERS))
@@ -212,7 +216,7 @@ _FULL = atoms_sql(STRUCTURED_SQL, CHUNKS_SQL, MENTIONS_SQL, RESOLVED_SQL, DOUBLE
 
 
 def reports(spark, sf):
-    nodes = structure.parse(structured(spark, sf)).select("document_id", "kind")
+    nodes = parsed(spark, sf).select("document_id", "kind")
     facts = meta(spark, sf).select("document_id", "profile", "is_empty")
     return quality.quality_report(facts, node_chunks(spark, sf), nodes, references(spark, sf))
 
@@ -296,11 +300,9 @@ def assert_document(spark, sf):
 )
 def assert_corpus(spark, sf):
     docs = meta(spark, sf)
-    hashes = docs.select("document_id", F.col("content_hash").alias("chunk_id"))
     plain = documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("document_id"), ids.sha256(tx.canonical(F.col("text"))).alias("chunk_id")
     )
-    del hashes
     return quality.assert_corpus(
         docs.select("document_id"), plain, docs.select(F.col("document_id").alias("parent_chunk_id")), docs.select("document_id")
     )

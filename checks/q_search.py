@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import fusion, lexical, plugins, rerank, vectors
 from corpusloom.plans import hybrid
-from corpusloom.session import persist_to_shared
 
 from .bindings import GOLD_SQL, WS, documents, gold, passages, questions, sql_tok_legal
-from .registry import query, table
+from .registry import query, staged, table
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -99,11 +98,11 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(r
 def points(spark, sf):
     """Stored vectors of the documents, as an embedding run would leave them."""
     rows = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("category"), "lang")
-    return persist_to_shared(plugins.embed_batch(rows, "text").drop("text"), "points")
+    return staged(spark, sf, "points", lambda: plugins.embed_batch(rows, "text").drop("text"))
 
 
 def encoded_questions(spark, sf):
-    return persist_to_shared(plugins.embed_batch(questions(spark, sf), "query", mode="query"), "questions")
+    return staged(spark, sf, "questions", lambda: plugins.embed_batch(questions(spark, sf), "query", mode="query"))
 
 
 def chunk_table(spark, sf):
@@ -128,19 +127,13 @@ def bm25_index(spark, sf, carry=()):
 
 
 RANKS = ["dense_rank", "sparse_rank", "bm25_rank"]
-_runs: dict = {}
-
-
-def hybrid_run(spark, sf, sparse: bool = True):
-    """One retrieval batch per session and folder, shared by the queries that read it."""
-    key = (id(spark), sf, sparse)
-    if key not in _runs:
-        _runs.clear()
-        run = hybrid.retrieve_hybrid(
-            encoded_questions(spark, sf), bm25_index(spark, sf), points(spark, sf), chunk_table(spark, sf), sparse=sparse
-        )
-        _runs[key] = run
-    return _runs[key]
+
+
+def hybrid_run(spark, sf):
+    """One retrieval batch; its ranked lists are staged for the queries that read them."""
+    asked, pts, chunks = encoded_questions(spark, sf), points(spark, sf), chunk_table(spark, sf)
+    ranked = staged(spark, sf, "ranked", lambda: hybrid.sources(asked, bm25_index(spark, sf), pts, 30))
+    return hybrid.complete(ranked, asked, chunks)
 
 
 # ------------------------------------------------------------------ queries

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.session import prepare
+from corpusloom.session import persist_to_shared, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,17 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+_staged: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table several queries read: written once per session to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _staged:
+        _staged[key] = persist_to_shared(build(), name)
+    return _staged[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -91,6 +91,17 @@ def retrieve_hybrid(
     table is read for the reranked rows alone.
     """
     ranked = sources(queries, index, points, settings.per_source, where, filters, sparse)
+    return complete(ranked, queries, chunks, settings, scorer)
+
+
+def complete(
+    ranked: DataFrame,
+    queries: DataFrame,
+    chunks: DataFrame,
+    settings: HybridSettings = HybridSettings(),
+    scorer: str | None = None,
+) -> Retrieval:
+    """Fuse, hydrate, rerank and cut source-tagged lists."""
     fused = fusion.fuse_rrf_weighted(ranked, settings.weights, settings.rrf_k, top=None)
     short = fused.filter(F.col("rrf_rank") <= settings.rerank_top).join(
         small_side(queries.select("query_id", "query"), queries.select("query_id")),
