@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     q_chunks,
+    q_eval,
     q_quality,
     q_search,
     q_store,

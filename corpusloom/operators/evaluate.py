@@ -209,3 +209,16 @@ def latency_runs(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg("reranker_ms").alias("mean_reranker_ms"),
         F.when(F.sum(total) != 0, 100.0 * F.sum("reranker_ms") / F.sum(total)).otherwise(0.0).alias("reranker_percent"),
     )
+
+
+def eval_grouped_by(per_query: DataFrame, metrics: Sequence[str], key: str, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
+    """:func:`eval_grouped` once per value of ``key``, still in one pass."""
+    sets = [[F.col(key)], *[[F.col(key), F.col(d)] for d in dimensions]]
+    grouped = per_query.groupingSets(sets, F.col(key), *[F.col(d) for d in dimensions]).agg(
+        *[F.grouping(d).alias(f"g_{d}") for d in dimensions],
+        F.count(F.lit(1)).alias("query_count"),
+        *[F.avg(m).alias(m) for m in metrics],
+    )
+    name = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, d) for d in dimensions], F.lit("full"))
+    value = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.col(d).cast("string")) for d in dimensions], F.lit("all"))
+    return grouped.select(key, name.alias("dimension"), value.alias("value"), "query_count", *metrics)
