@@ -1,6 +1,7 @@
 """Imports every query module, so that registration happens once."""
 
 from . import (  # noqa: F401
+    q_answers,
     q_chunks,
     q_eval,
     q_quality,

@@ -431,18 +431,17 @@ def answer_support(spark, sf):
 # ------------------------------------------------------------ gold questions
 
 
-def _jaccard_sql(src: str) -> str:
-    return f"""
-w AS (SELECT DISTINCT id, token FROM (SELECT id, unnest(list_filter(string_split_regex(lower(nfc_normalize(text)), '[\\t-\\r\\x1C-\\x20\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) AS token FROM {src})),
-s AS (SELECT id, count(*) AS n FROM w GROUP BY id),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w b ON a.token = b.token AND a.id < b.id GROUP BY ALL)
+JACCARD_SQL = r"""
+w AS (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(lower(nfc_normalize(replace(text, 'ß', 'ss'))), '[\t-\r\x1C-\x20\x{85}\p{Z}]+'), lambda x: x <> ''))) AS l FROM (SELECT doc_id AS id, text FROM documents)),
+r AS (SELECT min(id) AS rep, l FROM w GROUP BY l),
+t AS (SELECT rep, len(l) AS n, unnest(l) AS token FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND a.rep < b.rep GROUP BY a.rep, b.rep)
 """
 
 
 @query(
     "near_dup_questions",
-    "WITH src AS (SELECT doc_id AS id, replace(text, 'ß', 'ss') AS text FROM documents), " + _jaccard_sql("src")
-    + " SELECT a, b, k / (sa.n + sb.n - k) AS jaccard FROM p JOIN s sa ON sa.id = a JOIN s sb ON sb.id = b WHERE k / (sa.n + sb.n - k) > 0.9",
+    f"WITH {JACCARD_SQL} SELECT a, b, k / (na + nb - k) AS jaccard FROM p WHERE k / (na + nb - k) > 0.9 UNION ALL SELECT rep, id, 1.0 FROM w JOIN r USING (l) WHERE id <> rep",
 )
 def near_dup_questions(spark, sf):
     from corpusloom.operators import gold as g

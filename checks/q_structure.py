@@ -18,7 +18,7 @@ cut AS (SELECT *, CASE WHEN marker IS NULL THEN raw ELSE {sql_strip(f"regexp_rep
 evented AS (SELECT *, CASE WHEN marker IS NOT NULL AND text = '' THEN 1 WHEN marker IS NOT NULL OR {sql_strip('text')} <> '' THEN 0 END AS event FROM cut),
 paged AS (SELECT document_id, line_no, text, marker,
    last_value(marker IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS page,
-   sum(length(raw) + 1) OVER (PARTITION BY document_id ORDER BY line_no) - length(raw) - 1 AS char_start,
+   (sum(length(raw) + 1) OVER (PARTITION BY document_id ORDER BY line_no))::BIGINT - length(raw) - 1 AS char_start,
    coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pending FROM evented),
 lines AS (SELECT document_id, line_no, page, text, {sql_strip('text')} AS t, char_start, char_start + length(text) AS char_end FROM paged
    WHERE NOT (marker IS NULL AND {sql_strip('text')} = '---' AND pending = 1))

@@ -66,7 +66,7 @@ pieces AS (
   FROM corpus, unnest(range(1, len(string_split_regex(text, '(?i)<!--[{WS}]*PAGE:[{WS}]*[0-9]+[{WS}]*-->')) + 1)) AS u(i)),
 placed AS (
   SELECT document_id, i, page, piece,
-         sum(length(piece) + coalesce(length(marker), 0)) OVER (PARTITION BY document_id ORDER BY i) - length(piece) AS raw_start
+         (sum(length(piece) + coalesce(length(marker), 0)) OVER (PARTITION BY document_id ORDER BY i))::BIGINT - length(piece) AS raw_start
   FROM pieces),
 bounds AS (
   SELECT document_id, i, page, {sql_strip('piece')} AS page_text,

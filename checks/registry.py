@@ -76,7 +76,11 @@ def portable_sql(statements: dict[str, str]) -> dict[str, str]:
     out = {}
     for name, sql in statements.items():
         columns = []
-        for column, kind, *_ in con.execute(f"DESCRIBE {sql}").fetchall():
+        try:
+            described = con.execute(f"DESCRIBE {sql}").fetchall()
+        except duckdb.Error as exc:
+            raise ValueError(f"SQL of {name}: {exc}") from exc
+        for column, kind, *_ in described:
             kind = kind.upper()
             if kind in ("DOUBLE", "FLOAT") or kind.startswith("DECIMAL"):
                 columns.append(f'round("{column}"::DOUBLE, 6) AS "{column}"')
