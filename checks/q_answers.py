@@ -327,7 +327,8 @@ def cite_resolve_sources(spark, sf):
     "cite_quote_match",
     """WITH q AS (SELECT doc_id, text, string_split(text, ' ')[2] AS exact, length(string_split(text, ' ')[1]) + 1 AS s FROM documents WHERE len(string_split(text, ' ')) > 2),
     x AS (SELECT doc_id, text, exact, s, substr(text, greatest(s - 6, 0) + 1, s - greatest(s - 6, 0)) AS prefix, substr(text, s + length(exact) + 1, 6) AS suffix FROM q WHERE exact <> ''),
-    n AS (SELECT doc_id, s, exact, doc_id % 2 = 0 AS moved, len(list_filter(range(1, length(text) - length(exact) + 2), lambda i: substr(text, i, length(exact)) = exact AND substr(text, greatest(i - length(prefix), 1), least(length(prefix), i - 1)) = prefix AND substr(text, i + length(exact), length(suffix)) = suffix)) AS hits, substr(text, s + 4, length(exact)) = exact AS still FROM x)
+    f AS (SELECT *, instr(text, prefix || exact || suffix) AS first FROM x),
+    n AS (SELECT doc_id, s, doc_id % 2 = 0 AS moved, CASE WHEN instr(substr(text, first + 1), prefix || exact || suffix) > 0 THEN 2 ELSE 1 END AS hits, substr(text, s + 4, length(exact)) = exact AS still FROM f)
     SELECT doc_id, CASE WHEN NOT moved THEN s WHEN still THEN s + 3 WHEN hits = 1 THEN s ELSE -1 END AS resolved_start, CASE WHEN NOT moved OR still THEN 'position' WHEN hits = 1 THEN 'quote_fallback' END AS mode FROM n""",
 )
 def cite_quote_match(spark, sf):

@@ -223,8 +223,71 @@ def chunk_children(spark, sf):
     )
 
 
-@query("chunk_v1_window")
+
+V1_ART = rf"^(?:(?:M[{WS}]*a[{WS}]*d[{WS}]*d[{WS}]*ə)[{WS}]+([0-9]+)|([0-9]+)\.[{WS}]+([^0-9]|$))"
+V1_CHA = rf"(?i)^(?:(?:F[{WS}]*ə[{WS}]*s[{WS}]*i[{WS}]*l|B[{WS}]*ö[{WS}]*l[{WS}]*m[{WS}]*ə)[{WS}]+([IVXLCDM0-9]+)|([IVXLCDM0-9]+)[{WS}]+(?:Fəsil|Bölmə))"
+V1_SECTIONS_SQL = f"""
+v_raw AS (SELECT document_id, category, i AS pos, string_split(text, chr(10))[i] AS raw FROM corpus, unnest(range(1, len(string_split(text, chr(10))) + 1 - (right(text, 1) = chr(10))::INT)) AS u(i)),
+v_mark AS (SELECT *, TRY_CAST(regexp_extract(raw, '<!-- PAGE:[{WS}]*([0-9]+)[{WS}]*-->', 1) AS INT) AS marker FROM v_raw),
+v_line AS (SELECT *, CASE WHEN marker IS NULL THEN raw ELSE {sql_strip(f"regexp_replace(raw, '<!-- PAGE:[{WS}]*[0-9]+[{WS}]*-->', '', 'g')")} END AS line FROM v_mark),
+v_found AS (SELECT *, NOT (marker IS NOT NULL AND line = '') AND {sql_strip('line')} <> '---' AS used, nullif(regexp_extract(line, '{V1_CHA}', 1) || regexp_extract(line, '{V1_CHA}', 2), '') AS ch,
+   nullif(regexp_extract(line, '{V1_ART}', 1) || regexp_extract(line, '{V1_ART}', 2), '') AS art FROM v_line),
+v_open AS (SELECT *, used AND ch IS NOT NULL AS opens_ch, used AND ch IS NULL AND art IS NOT NULL AS opens_art FROM v_found),
+sections AS (SELECT * FROM (SELECT document_id, category, pos, used, coalesce(last_value(marker IGNORE NULLS) OVER w, 1) AS page, sum((opens_ch OR opens_art)::INT) OVER w AS section_no,
+     last_value(CASE WHEN opens_ch THEN ch END IGNORE NULLS) OVER w AS chapter, nullif(last_value(CASE WHEN opens_ch THEN '' WHEN opens_art THEN art END IGNORE NULLS) OVER w, '') AS article,
+     CASE WHEN opens_ch OR opens_art THEN {sql_strip('line')} ELSE line END AS text FROM v_open WINDOW w AS (PARTITION BY document_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) WHERE used)
+"""
+
+
+def sections(spark, sf):
+    return chunking.v1_sections(structured(spark, sf))
+
+
+@query(
+    "chunk_v1_sections",
+    f"WITH {STRUCTURED_SQL}, {V1_SECTIONS_SQL} SELECT document_id, section_no, coalesce(chapter, '') AS chapter, coalesce(article, '') AS article, count(*) AS lines, min(page) AS page_start, md5(string_agg(text, chr(10) ORDER BY pos)) AS text_md5 FROM sections GROUP BY ALL",
+)
+def chunk_v1_sections(spark, sf):
+    item = F.struct("pos", "text")
+    return sections(spark, sf).groupBy("document_id", "section_no", F.coalesce("chapter", F.lit("")).alias("chapter"), F.coalesce("article", F.lit("")).alias("article")).agg(
+        F.count(F.lit(1)).alias("lines"), F.min("page").alias("page_start"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), "\n")).alias("text_md5"),
+    )
+
+
+# The window walks the lines of a section; the overlap start is looked up per cut.
+V1_WINDOW_SQL = f"""
+v_sized AS MATERIALIZED (SELECT *, length(text) + 1 AS len, row_number() OVER (PARTITION BY document_id, section_no ORDER BY pos) AS n,
+   (sum(length(text) + 1) OVER (PARTITION BY document_id, section_no ORDER BY pos))::BIGINT - length(text) - 1 AS before FROM sections),
+v_back AS MATERIALIZED (SELECT a.*, greatest(1, (SELECT count(*) FROM v_sized b WHERE b.document_id = a.document_id AND b.section_no = a.section_no AND b.n < a.n AND a.before - b.before <= 500)) AS back FROM v_sized a),
+v_walk AS (SELECT document_id, section_no, n, 1::BIGINT AS start, len AS cur, 1 AS part, 1::BIGINT AS part_start FROM v_back WHERE n = 1
+   UNION ALL SELECT w.document_id, w.section_no, b.n, CASE WHEN w.cur + b.len > 4000 THEN greatest(w.start, b.n - b.back) ELSE w.start END,
+     CASE WHEN w.cur + b.len > 4000 THEN b.before - s.before + b.len ELSE w.cur + b.len END, CASE WHEN w.cur + b.len > 4000 THEN w.part + 1 ELSE w.part END, 0
+   FROM v_walk w JOIN v_back b ON b.document_id = w.document_id AND b.section_no = w.section_no AND b.n = w.n + 1
+   JOIN v_sized s ON s.document_id = b.document_id AND s.section_no = b.section_no AND s.n = greatest(w.start, b.n - b.back)),
+v_parts AS (SELECT document_id, section_no, part, min(start) AS a, max(n) AS z FROM v_walk GROUP BY ALL),
+v_total AS (SELECT document_id, section_no, max(part) AS parts FROM v_parts GROUP BY ALL),
+v_rows AS (SELECT p.document_id, p.section_no, p.part, t.parts, any_value(chapter) AS chapter, any_value(article) AS article, {sql_strip("string_agg(text, chr(10) ORDER BY n)")} AS text, arg_min(page, n) AS page_start, arg_max(page, n) AS page_end
+   FROM v_parts p JOIN v_sized l ON l.document_id = p.document_id AND l.section_no = p.section_no AND l.n BETWEEN p.a AND p.z JOIN v_total t ON t.document_id = p.document_id AND t.section_no = p.section_no GROUP BY ALL),
+v_kept AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_no, part) AS n FROM v_rows WHERE text <> ''),
+v_chunks AS (SELECT document_id || '_' || coalesce(nullif(concat_ws('_', 'ch_' || chapter, 'art_' || article), ''), 'intro') || '_' || min(n) OVER (PARTITION BY document_id, section_no) || CASE WHEN parts > 1 THEN '_part' || part ELSE '' END AS chunk_id,
+   document_id, page_start, page_end, text FROM v_kept)
+"""
+_V1 = f"WITH RECURSIVE {STRUCTURED_SQL}, {V1_SECTIONS_SQL}, {V1_WINDOW_SQL}"
+
+
+@query("chunk_v1_window", _V1 + " SELECT chunk_id, document_id, page_start, page_end, md5(text) AS text_md5 FROM v_chunks")
 def chunk_v1_window(spark, sf):
-    return chunking.v1_window(chunking.v1_sections(structured(spark, sf))).select(
-        "chunk_id", "document_id", "chapter", "article", "page_start", "page_end", F.md5("text").alias("text_md5")
+    return chunking.v1_window(sections(spark, sf)).select("chunk_id", "document_id", "page_start", "page_end", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "doc_v1_metadata",
+    _V1 + f""", n AS (SELECT document_id, count(*) AS total_chunks FROM v_chunks GROUP BY ALL), p AS (SELECT document_id, max(marker) AS m FROM v_mark GROUP BY ALL)
+    SELECT document_id, category, document_id || '.pdf' AS source_file, greatest(1, coalesce(m, 1)) AS total_pages, coalesce(total_chunks, 0) AS total_chunks, 'az' AS language FROM corpus LEFT JOIN n USING (document_id) LEFT JOIN p USING (document_id)""",
+)
+def doc_v1_metadata(spark, sf):
+    docs = structured(spark, sf)
+    return chunking.v1_metadata(chunking.v1_window(sections(spark, sf)), docs).select(
+        "document_id", "category", "source_file", "total_pages", "total_chunks", "language"
     )

@@ -617,7 +617,7 @@ def v1_window(sections: DataFrame, max_chars: int = 4000, overlap: int = 500) ->
     )
 
 
-def v1_metadata(sections: DataFrame, chunks: DataFrame, docs: DataFrame, language: str = "az") -> DataFrame:
+def v1_metadata(chunks: DataFrame, docs: DataFrame, language: str = "az") -> DataFrame:
     """Per document: pages, chunks and constant facts; documents without chunks count zero."""
     pages = docs.select(
         "document_id",

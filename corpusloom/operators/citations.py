@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -39,33 +39,23 @@ def render_answers(answers: DataFrame, numbered: DataFrame, fallbacks: dict[str,
     return answers.join(text, "query_id", "left").withColumn("answer", F.coalesce(F.nullif(F.trim("answer"), F.lit("")), default, F.lit("")))
 
 
-def quote_matches(text: Column, exact: Column, prefix: Column, suffix: Column) -> Column:
-    """Start positions (from 0) where the quote occurs with its surroundings; overlaps count.
-
-    ``split`` on the quote would miss overlapping hits, so candidate starts come
-    from the positions of the quote's first character.
-    """
-    spots = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(exact) + 1, F.lit(1))),
-        lambda i: (F.substring(text, i, F.length(exact)) == exact)
-        & ((prefix == "") | (F.substring(text, F.greatest(i - F.length(prefix), F.lit(1)), F.least(F.length(prefix), i - 1)) == prefix))
-        & ((suffix == "") | (F.substring(text, i + F.length(exact), F.length(suffix)) == suffix)),
-    )
-    return F.when(F.contains(text, exact) & (exact != ""), F.transform(spots, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def resolve_selectors(rows: DataFrame) -> DataFrame:
     """Check each selector at its position, else find its quote; it must be unique.
 
     ``rows``: ``text, position_start, position_end, exact, prefix, suffix``.
-    The search only runs where the position no longer matches.
+    A hit with matching surroundings is an occurrence of prefix, quote and
+    suffix in one piece, so two substring searches decide whether it is the
+    only one, overlapping hits included.
     """
     at = F.substring(F.col("text"), F.col("position_start") + 1, F.col("position_end") - F.col("position_start"))
-    checked = rows.withColumn("in_place", at == F.col("exact"))
-    found = F.when(~F.col("in_place"), quote_matches(F.col("text"), F.col("exact"), F.col("prefix"), F.col("suffix")))
-    out = checked.withColumn("found", found)
-    unique = F.size("found") == 1
-    start = F.when(F.col("in_place"), F.col("position_start")).when(unique, F.get("found", F.lit(0)))
+    checked = (
+        rows.withColumn("in_place", at == F.col("exact"))
+        .withColumn("piece", F.concat("prefix", "exact", "suffix"))
+        .withColumn("first", F.when(~F.col("in_place"), F.expr("locate(piece, text, 1)")).otherwise(0))
+    )
+    out = checked.withColumn("second", F.when(F.col("first") > 0, F.expr("locate(piece, text, first + 1)")).otherwise(0))
+    unique = (F.col("first") > 0) & (F.col("second") == 0)
+    start = F.when(F.col("in_place"), F.col("position_start")).when(unique, F.col("first") - 1 + F.length("prefix"))
     return out.select(
         *[c for c in rows.columns if c != "text"],
         start.alias("resolved_start"),
