@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread
+
 from .registry import table
 
 WS = r"\t-\r\x1C-\x20\x{85}\p{Z}"
@@ -67,7 +69,7 @@ corpus AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:

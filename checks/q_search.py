@@ -123,7 +123,7 @@ def bm25_index(spark, sf, carry=()):
     chunks = documents(spark, sf).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("category"), "lang"
     )
-    return lexical.lex_index(chunks, carry=carry)
+    return lexical.lex_index(chunks, carry=carry, stage=lambda df, name: staged(spark, sf, f"bm25-{name}", lambda: df))
 
 
 RANKS = ["dense_rank", "sparse_rank", "bm25_rank"]
@@ -154,7 +154,7 @@ def lex_topk_v2(spark, sf):
 
 @query("lex_topk_v1", f"WITH {lex_sql(sql_tok_ws, k=10)} SELECT * FROM bm25")
 def lex_topk_v1(spark, sf):
-    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws)
+    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws, compose=False)
     return lexical.lex_topk(index, questions(spark, sf), k=10)
 
 
@@ -361,7 +361,7 @@ def retrieve_hybrid_v1(spark, sf):
 
 
 def v1_fused(spark, sf, per_source, top):
-    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws)
+    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws, compose=False)
     ranked = hybrid.sources(encoded_questions(spark, sf), index, points(spark, sf), per_source, sparse=False)
     return fusion.fuse_rrf(ranked, top=top)
 

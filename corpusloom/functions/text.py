@@ -89,13 +89,16 @@ def tok_ws(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), f"[{WS}]+"), lambda x: x != "")
 
 
-def tok_legal(col: Column, compose: bool = True) -> Column:
-    """Legal-prose tokens: numbers with inner dots or dashes, and words."""
-    base = nfc(col) if compose else col
-    folded = F.replace(casefold(base), F.lit("i̇"), F.lit("i"))
+def legal_tokens(col: Column) -> Column:
+    """Legal-prose tokens of composed text: numbers with inner dots or dashes, and words."""
+    folded = F.replace(casefold(col), F.lit("i̇"), F.lit("i"))
     return F.regexp_extract_all(folded, F.lit(LEGAL_TOKEN), F.lit(0))
 
 
+def tok_legal(col: Column, compose: bool = True) -> Column:
+    return legal_tokens(nfc(col) if compose else col)
+
+
 def tok_answer(col: Column, compose: bool = True) -> Column:
     base = nfc(col) if compose else col
     return F.regexp_extract_all(casefold(base), F.lit(ANSWER_TOKEN), F.lit(0))

@@ -32,29 +32,47 @@ class LexicalIndex:
 
 def lex_index(
     chunks: DataFrame,
-    tokenize: Callable[[Column], Column] = tx.tok_legal,
+    tokenize: Callable[[Column], Column] = tx.legal_tokens,
     text: str = "content",
     carry: Sequence[str] = (),
+    compose: bool = True,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> LexicalIndex:
-    """Index ``chunk_id`` and a text column. Text without tokens still counts in N."""
-    tokens = chunks.select("chunk_id", *carry, tokenize(F.col(text)).alias("tokens")).repartition("chunk_id")
+    """Index ``chunk_id`` and a text column. Text without tokens still counts in N.
+
+    ``stage(df, name)`` may write the vocabulary, which every search reads.
+    """
+    # Text is smaller than its tokens, so it is what travels. It is composed
+    # before that: a Python step would hide the layout from the plan.
+    body = tx.nfc(F.col(text)) if compose else F.col(text)
+    laid = chunks.select("chunk_id", *carry, body.alias("text")).repartition("chunk_id")
+    tokens = laid.select("chunk_id", *carry, tokenize(F.col("text")).alias("tokens"))
     docs = tokens.select("chunk_id", *carry, F.size("tokens").alias("dl"))
     terms = (
         tokens.select("chunk_id", *carry, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
         .groupBy("chunk_id", *carry, "dl", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    vocabulary = (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
+    # One pass for the vocabulary and the totals: the empty token, which no text
+    # has, stands for the document itself.
+    entry = F.struct(F.lit("").alias("token"), F.size("tokens").alias("dl"))
+    words = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("dl")))
+    counts = (
+        tokens.select(F.explode(F.array_append(words, entry)).alias("e"))
+        .groupBy("e.token")
+        .agg(
+            F.count(F.lit(1)).alias("df"),
+            F.sum("e.dl").alias("total"),
+            F.count_if((F.col("e.token") == "") & (F.col("e.dl") == 0)).alias("empty"),
+        )
     )
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"),
-        F.count_if(F.col("dl") == 0).alias("empty_docs"),
+    if stage is not None:
+        counts = stage(counts, "vocabulary")
+    vocabulary = counts.filter("token <> ''").select("token", "df")
+    stats = counts.filter("token = ''").select(
+        F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"), F.col("empty").alias("empty_docs")
     )
-    return LexicalIndex(docs, terms, vocabulary, stats, tokenize, tuple(carry))
+    return LexicalIndex(docs, terms, vocabulary, stats, (lambda c: tokenize(tx.nfc(c))) if compose else tokenize, tuple(carry))
 
 
 def duplicate_ids(chunks: DataFrame) -> DataFrame:
@@ -116,7 +134,8 @@ def lex_topk(
 
     ``where`` and per-query ``filters`` use carried columns and apply after
     scoring: corpus statistics stay global. Queries with fewer than ``k``
-    matches are filled with zero scores in tie order. Scores are non-negative
+    matches are filled with zero scores in tie order, from a pool of the first
+    ``2 k`` documents per filter value. Scores are non-negative
     unless the mean idf is negative (corpora of a few documents); pass
     ``pad_pool=None`` there to consider every document when filling.
     """
@@ -141,9 +160,8 @@ def lex_topk(
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     tie_keys = ["chunk_id", *[t for t in ties if t != "chunk_id"]]
     scored = hits.groupBy(*tie_keys, "query_id").agg(F.sum(part).alias("score"))
-    found = top_k(scored, k, ties)
     if drop_zero:
-        return found.filter(F.col("score") > 0).select("query_id", "chunk_id", "score", "rank")
+        return top_k(scored.filter(F.col("score") > 0), k, ties).select("query_id", "chunk_id", "score", "rank")
 
     kept = index.docs if where is None else index.docs.filter(where)
     pool_size = 2 * k if pad_pool == -1 else pad_pool
@@ -154,16 +172,16 @@ def lex_topk(
         pool = kept.withColumn("n", F.row_number().over(group)).filter(F.col("n") <= pool_size).drop("n")
     else:
         pool = kept.orderBy(*ties).limit(pool_size)
-    counts = found.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("positive"))
-    short = asked.select(*keys).join(counts, "query_id", "left").filter(F.coalesce("positive", F.lit(0)) < k)
-    fill = pool.crossJoin(small_side(short, probe))
+    fill = pool.crossJoin(small_side(asked.select(*keys), probe))
     fill = fill if match is None else fill.filter(match)
-    matched = found if pool_size is not None else scored
-    zeros = fill.join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select(
-        *tie_keys, "query_id", F.lit(0.0).alias("score")
-    )
-    merged = found.select(*tie_keys, "query_id", "score").unionByName(zeros)
-    return top_k(merged, k, ties).select("query_id", "chunk_id", "score", "rank")
+    zeros = fill.select(*tie_keys, "query_id", F.lit(0.0).alias("score"))
+    # A filled row may repeat a match. Such rows are at most the pool, so the
+    # first k + pool rows of each query hold its true top-k.
+    merged = scored.unionByName(zeros)
+    if pool_size is not None and not filters:
+        merged = top_k(merged, k + pool_size, ties).drop("rank")
+    single = merged.groupBy("query_id", *tie_keys).agg(F.max_by("score", F.abs("score")).alias("score"))
+    return top_k(single, k, ties).select("query_id", "chunk_id", "score", "rank")
 
 
 def postings(vectors: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

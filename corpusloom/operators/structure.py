@@ -39,10 +39,11 @@ def document_lines(docs: DataFrame, drop_rules: str = "after", compose: bool = T
     ``drop_rules='after'`` drops a ``---`` line that follows a bare page
     marker; ``'both'`` also drops one that precedes it.
     """
-    body = tx.unix_lines(F.col("text"))
-    body = tx.nfc(body) if compose else body
     decision = F.coalesce(F.col("profile") == "DECISION_OR_AMENDMENT", F.lit(False)) if "profile" in docs.columns else F.lit(False)
-    laid = docs.select("document_id", body.alias("text"), decision.alias("decision")).repartition("document_id")
+    # Composed before the shuffle: a Python step after it would hide the layout from the plan.
+    body = tx.nfc(F.col("text")) if compose else F.col("text")
+    shuffled = docs.select("document_id", body.alias("text"), decision.alias("decision")).repartition("document_id")
+    laid = shuffled.select("document_id", tx.unix_lines(F.col("text")).alias("text"), "decision")
     raw = laid.select(
         "document_id",
         (F.col("decision") | F.contains(F.upper(F.substring("text", 1, 10000)), F.lit("QƏRARA ALIR"))).alias("decision"),

@@ -15,6 +15,9 @@ PLAN_SETTINGS = {
     # A table hash-partitioned by document joins another one on (document, locator)
     # without shuffling either side again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Otherwise every explode of a computed array also filters on the array's
+    # size below the shuffle, which evaluates the tokenizer twice.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -63,6 +66,15 @@ def small_side(df: DataFrame, probe: DataFrame | None = None, rows: int = SMALL_
     return F.broadcast(df) if has_at_most(df if probe is None else probe, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than the session has cores.
+
+    A table of any size has more splits than that and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor sees; the cluster names it in its settings."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
