@@ -41,7 +41,7 @@ def built(spark, sf) -> corpus.Corpus:
 
 
 CUT = 120
-ATOMS_SQL = f"""
+ATOMS_SQL = rf"""
 pieces AS (SELECT *, regexp_matches(t, '^(?:[#|>]|- |\* )') OR regexp_matches(t, '(?i)^(?:[0-9]+(?:[.-][0-9]+)*\.?|[a-zəçşıöüğ]\))[{WS}]+') AS s FROM owned WHERE node_line IS NOT NULL),
 glued AS (SELECT document_id, node_line, line_no, CASE WHEN lag(s) OVER w IS NULL THEN '' WHEN s OR lag(s) OVER w THEN chr(10) ELSE ' ' END || t AS piece
    FROM pieces WINDOW w AS (PARTITION BY document_id, node_line ORDER BY line_no)),

@@ -118,7 +118,7 @@ def _grid(asked: DataFrame, kept: DataFrame, names: list[str], schema: str, k: i
         "cc", F.explode(F.sequence(F.lit(0), F.lit(c_cells - 1)))
     )
     right = kept.withColumn("cc", F.pmod(F.xxhash64("chunk_id"), F.lit(c_cells)).cast("int")).withColumn(
-        "qc", F.explode(F.sequence(F.lit(0), F.lit(q_cells - 1))).cast("long")
+        "qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_cells - 1).cast("long")))
     )
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
