@@ -24,10 +24,10 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files below ``root``: category is the parent directory."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
     path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.concat(F.lit("\x00"), path), base, -1)
-    return files.select(F.col("value").alias("text"), path.alias("path"), relative.alias("source_relative_path")).select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"), "source_relative_path", "text"
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    relative = F.regexp_replace("path", rf"^.*?\Q{base}\E/", "")
+    return files.select(F.col("value").alias("text"), path.alias("path")).select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"), relative.alias("source_relative_path"), "text"
     )
 
 
