@@ -89,3 +89,22 @@ def op10_chat_format(spark, sf_dir):
         F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2(F.col("learnt"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"))
+    each = out.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query("op5_bpe")
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import encode
+
+    out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
