@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import filled
+from .common import filled, slices
 
 #: Words a worker remembers: two generations of so many. It bounds memory, not results.
 REMEMBERED = 150_000
@@ -221,20 +221,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = WordBpe(path)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            start = 0
-            lengths = np.asarray(pa.compute.binary_length(texts)) if len(texts) else np.zeros(0)
-            sums = np.cumsum(lengths)
-            while start < len(texts):
-                stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + OUT_BYTES, "right")))
-                rows = model.encode_batch(texts[start:stop].to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [ids[start:stop], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-                start = stop
-
-    from pyspark.sql import functions as F
+        for batch in (piece for whole in batches for piece in slices(whole, "text", OUT_BYTES)):
+            rows = model.encode_batch(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -61,3 +61,15 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2
         n += batch.num_rows
     if n:
         yield pa.Table.from_batches(held)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece has about ``limit`` bytes of ``column``, or one row."""
+    import pyarrow.compute as pc
+
+    sums = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

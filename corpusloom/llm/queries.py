@@ -108,3 +108,10 @@ def op5_bpe(spark, sf_dir):
 
     out = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
