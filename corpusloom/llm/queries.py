@@ -115,3 +115,10 @@ def op3_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark, sf_dir):
+    from .fingerprints import neighbour_fingerprints
+
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
