@@ -122,3 +122,25 @@ def op2_fingerprints(spark, sf_dir):
     from .fingerprints import neighbour_fingerprints
 
     return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    from .quality import judge
+
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "source", "lang", F.col("__evidence").alias("evidence"), "host_rate", "path_rate", F.col("__odds").alias("odds"), (F.col("__odds") <= 0).alias("keep"))
+
+
+@query("op4_licenses")
+def op4_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark, sf_dir):
+    from .jaccard_join import near_components
+
+    return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.coalesce("weight", F.lit(1)).alias("class_size"))
