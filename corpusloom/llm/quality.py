@@ -18,9 +18,9 @@ from .common import persist_to_shared, slices
 
 #: Labelled rows the classifier is fitted on, at most; the ones with the smallest id hashes.
 TRAIN_ROWS = 20_000
-#: A word is evidence if so many labelled rows of the class, and so large a part of them, hold it and its log odds are so
-#: high; the model keeps so many words.
-MIN_ROWS, MIN_PART, MIN_ODDS, MODEL_WORDS = 5, 0.01, 2.5, 20_000
+#: A word is evidence of a toxic text if so many toxic rows, and so large a part of them, hold it, and so large a part of the
+#: rows that hold it are toxic. Words that only lean to one side add up to errors over a long text. The model keeps so many.
+MIN_ROWS, MIN_PART, PRECISION, MODEL_WORDS = 5, 0.01, 0.97, 20_000
 #: Log odds of a document stay within this; the part of the site's log odds that is added.
 CLIP, SITE = 8.0, 0.5
 #: Edges of the style measures' bins.
@@ -102,8 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     odds = lambda a, b, of_a, of_b: math.log((a + 0.5) / (of_a + 1)) - math.log((b + 0.5) / (of_b + 1))
     low_n, ok_n, toxic_n, clean_n = totals["low 1"], totals["low 0"], totals["toxic 1"], totals["toxic 0"]
     styles = counts.where("feature <> '' and `low 0` + `low 1` > 0").collect()  # one row a bin
-    ratio = (F.col("toxic 1") + 0.5) * (clean_n + 1.0) / ((F.col("toxic 0") + 0.5) * (toxic_n + 1.0))
-    strong = counts.where((F.col("feature") != "") & (F.col("toxic 1") >= max(MIN_ROWS, MIN_PART * toxic_n)) & (F.ln(ratio) >= MIN_ODDS))
+    sure = F.col("toxic 1") >= PRECISION * (F.col("toxic 1") + F.col("toxic 0"))
+    strong = counts.where((F.col("feature") != "") & (F.col("toxic 1") >= max(MIN_ROWS, MIN_PART * toxic_n)) & sure)
     strong = strong.orderBy(F.desc("toxic 1"), "feature").limit(MODEL_WORDS).collect()
     prior = lambda a, b: math.log((a + 0.5) / (b + 0.5))
     return Model(
