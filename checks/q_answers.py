@@ -360,15 +360,15 @@ def answer_sources_v1(spark, sf):
     return citations.answer_sources_v1(rows, d)
 
 
-@query("answer_run_v1")
-def answer_run_v1(spark, sf):
+@query("answer_pipeline_v1")
+def answer_pipeline_v1(spark, sf):
     top = hybrid_run(spark, sf).final.select("query_id", "chunk_id", F.col("final_rank").alias("position"), "content", "document_title")
     out = flows.answer_v1(questions(spark, sf), top)
     return out.select("query_id", F.length("prompt").alias("prompt_chars"), F.md5("raw").alias("raw_md5"))
 
 
-@query("answer_run_v2")
-def answer_run_v2(spark, sf):
+@query("answer_pipeline_v2")
+def answer_pipeline_v2(spark, sf):
     out = flows.answer_v2(questions(spark, sf), selected(spark, sf))
     return out.select("query_id", "status", "code", F.length("answer").alias("answer_chars"))
 

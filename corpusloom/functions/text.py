@@ -6,8 +6,9 @@ Unicode meaning of word, digit and white space used by the data model.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,13 +37,33 @@ def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-def nfc(col: Column) -> Column:
-    """Unicode composition.
+@lru_cache(1)
+def composed_class() -> str:
+    """Character class of what composition may change: code points that change alone, combining marks, and those that
+    stand second in a canonical composition."""
+    risky = set()
+    for c in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= c < 0xE000:
+            continue
+        char = chr(c)
+        if unicodedata.combining(char) or unicodedata.normalize("NFC", char) != char or unicodedata.category(char)[0] == "M":
+            risky.add(c)
+        parts = unicodedata.decomposition(char).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            risky.add(int(parts[1], 16))
+    risky.update(range(0x1160, 0x1200))  # vowels and finals of Hangul, which compose by rule
+    points, ranges = sorted(risky), []
+    for c in points:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
-    Only text that may change is sent to Python: values with combining marks,
-    conjoining Hangul jamo or compatibility singletons. All others pass as null.
-    """
-    risky = col.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}\x{340}\x{341}\x{37E}\x{387}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2329}\x{232A}]")
+
+def nfc(col: Column) -> Column:
+    """Unicode composition. Only text that may change is sent to Python; all other values pass as null."""
+    risky = col.rlike(composed_class())
     return F.coalesce(_compose(F.when(risky, col)), col)
 
 

@@ -91,12 +91,20 @@ def query_errors(queries: DataFrame, tokenize: Callable[[Column], Column] = tx.t
     ).filter("error is not null")
 
 
+def raw_idf(index: LexicalIndex) -> DataFrame:
+    n = F.broadcast(index.stats.select("n", "avgdl"))  # one row
+    return index.vocabulary.crossJoin(n).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+
+
+def idf_floor(weighed: DataFrame) -> DataFrame:
+    """One row: what a negative weight becomes."""
+    return F.broadcast(weighed.agg((F.avg("idf") * 0.25).alias("floor")))
+
+
 def idf_table(index: LexicalIndex, only: DataFrame | None = None) -> DataFrame:
     """Token weights; a negative one becomes a quarter of the vocabulary's mean."""
-    n = F.broadcast(index.stats.select("n", "avgdl"))  # one row
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weighed = index.vocabulary.crossJoin(n).withColumn("idf", raw)
-    floor = F.broadcast(weighed.agg((F.avg("idf") * 0.25).alias("floor")))  # one row
+    weighed = raw_idf(index)
+    floor = idf_floor(weighed)
     kept = weighed if only is None else weighed.join(only, "token")
     return kept.crossJoin(floor).withColumn(
         "idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
@@ -128,16 +136,16 @@ def lex_topk(
     filters: Sequence[str] = (),
     ties: Sequence[str] = ("chunk_id",),
     drop_zero: bool = False,
-    pad_pool: int | None = -1,
 ) -> DataFrame:
     """BM25 top-k for ``(query_id, query[, filter columns])``.
 
     ``where`` and per-query ``filters`` use carried columns and apply after
     scoring: corpus statistics stay global. Queries with fewer than ``k``
-    matches are filled with zero scores in tie order, from a pool of the first
-    ``2 k`` documents per filter value. Scores are non-negative
-    unless the mean idf is negative (corpora of a few documents); pass
-    ``pad_pool=None`` there to consider every document when filling.
+    matches are filled with zero scores in tie order. Where no weight is
+    negative, such a query has fewer than ``k`` matches, so the first ``2 k``
+    documents per filter value hold all the fillers. Where the mean idf is
+    negative, matches may rank below documents without any, and the plan
+    considers every document; the statistics decide that inside the plan.
     """
     asked = queries.select(
         "query_id", *[F.col(c).alias(f"q_{c}") for c in filters], index.tokenize(F.col("query")).alias("tokens")
@@ -164,22 +172,25 @@ def lex_topk(
         return top_k(scored.filter(F.col("score") > 0), k, ties).select("query_id", "chunk_id", "score", "rank")
 
     kept = index.docs if where is None else index.docs.filter(where)
-    pool_size = 2 * k if pad_pool == -1 else pad_pool
-    if pool_size is None:
-        pool = kept
-    elif filters:
+    floor = idf_floor(raw_idf(index))
+    kept = kept.select(*dict.fromkeys([*tie_keys, *filters]))
+    if filters:
         group = Window.partitionBy(*filters).orderBy(*ties)
-        pool = kept.withColumn("n", F.row_number().over(group)).filter(F.col("n") <= pool_size).drop("n")
+        pool = kept.withColumn("n", F.row_number().over(group)).crossJoin(floor)
+        pool = pool.filter((F.col("n") <= 2 * k) | (F.col("floor") < 0)).drop("n", "floor")
     else:
-        pool = kept.orderBy(*ties).limit(pool_size)
+        rest = kept.crossJoin(floor).filter("floor < 0").drop("floor")
+        pool = kept.orderBy(*ties).limit(2 * k).unionByName(rest)
     fill = pool.crossJoin(small_side(asked.select(*keys), probe))
     fill = fill if match is None else fill.filter(match)
     zeros = fill.select(*tie_keys, "query_id", F.lit(0.0).alias("score"))
-    # A filled row may repeat a match. Such rows are at most the pool, so the
-    # first k + pool rows of each query hold its true top-k.
+    # A filled row may repeat a match. Without negative scores such rows are at
+    # most 2 k, so the first 3 k rows of each query hold its true top-k.
     merged = scored.unionByName(zeros)
-    if pool_size is not None and not filters:
-        merged = top_k(merged, k + pool_size, ties).drop("rank")
+    if not filters:
+        w = Window.partitionBy("query_id").orderBy(F.round("score", 10).desc(), *ties)
+        merged = merged.withColumn("n", F.row_number().over(w)).crossJoin(floor)
+        merged = merged.filter((F.col("n") <= 3 * k) | (F.col("floor") < 0)).drop("n", "floor")
     single = merged.groupBy("query_id", *tie_keys).agg(F.max_by("score", F.abs("score")).alias("score"))
     return top_k(single, k, ties).select("query_id", "chunk_id", "score", "rank")
 

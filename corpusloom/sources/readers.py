@@ -78,13 +78,13 @@ def apply_policy(raw: DataFrame, policy: str) -> DataFrame:
     fatal = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("bad JSON in "), F.col("_file"))).when(
         F.col("chunk_id").isNull(), F.concat(F.lit("record without chunk_id in "), F.col("_file"))
     )
-    checked = rows.withColumn("chunk_id", F.when(fatal.isNotNull(), F.raise_error(fatal)).otherwise(F.col("chunk_id")))
+    # in filters, so that pruning a column can't drop the check
+    checked = rows.filter(F.when(fatal.isNotNull(), F.raise_error(fatal).cast("boolean")).otherwise(F.lit(True)))
     if policy == "strict":
         n = F.count(F.lit(1)).over(Window.partitionBy("chunk_id"))
         twice = F.concat(F.lit("duplicate chunk_id "), F.col("chunk_id"))
-        return checked.withColumn("_n", n).withColumn(
-            "chunk_id", F.when(F.col("_n") > 1, F.raise_error(twice)).otherwise(F.col("chunk_id"))
-        ).drop("_n")
+        counted = checked.withColumn("_n", n)
+        return counted.filter(F.when(F.col("_n") > 1, F.raise_error(twice).cast("boolean")).otherwise(F.lit(True))).drop("_n")
     # An aggregate, not a window: copies of one id are reduced before the shuffle.
     order = F.struct("_file", "_block", "_row")
     keep = F.min_by if policy == "first_wins" else F.max_by
