@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,9 @@ CONTRACT = (
     'Return one JSON object: {"status": "answered" | "insufficient_evidence" | "conflicting_evidence", '
     '"answer_blocks": [{"text": string, "evidence_ids": [string]}], "limitations": [string]}'
 )
+# States of an answer and the written shape of a block.
+STATUSES = ("answered", "insufficient_evidence", "conflicting_evidence")
+BLOCK_SHAPE = "OBJECT<evidence_ids: ARRAY<STRING>, text: STRING>"
 OUTPUT_SCHEMA = "status string, answer_blocks array<struct<text: string, evidence_ids: array<string>>>, limitations array<string>"
 
 
@@ -87,26 +90,48 @@ def prompt_v1(questions: DataFrame, sources: DataFrame, system: str = RULES) ->
     )
 
 
+def usable_answer(text: str, allowed: Sequence[str] | None = None) -> bool:
+    """The rules of :func:`answer_validate` for one output, before it is asked for again."""
+    import json
+
+    try:
+        answer = json.loads(text)
+    except (TypeError, ValueError):
+        return False
+    if not isinstance(answer, dict) or set(answer) - {"status", "answer_blocks", "limitations"}:
+        return False
+    blocks, limits = answer.get("answer_blocks", []), answer.get("limitations", [])
+    if answer.get("status") not in STATUSES or not isinstance(blocks, list) or not isinstance(limits, list):
+        return False
+    if len(blocks) > 12 or len(limits) > 8 or not all(isinstance(x, str) for x in limits) or (answer["status"] == "answered") != bool(blocks):
+        return False
+    for b in blocks:
+        if not isinstance(b, dict) or set(b) != {"text", "evidence_ids"} or not isinstance(b["text"], str) or not 1 <= len(b["text"]) <= 2000:
+            return False
+        ids = b["evidence_ids"]
+        if not isinstance(ids, list) or not 1 <= len(ids) <= 8 or not all(isinstance(i, str) for i in ids) or len(set(ids)) < len(ids):
+            return False
+        if allowed is not None and not set(ids) <= set(allowed):
+            return False
+    return True
+
+
 def generate_batch(prompts: DataFrame, name: str = "extractive", batch: int = 8) -> DataFrame:
-    """Append ``raw`` and ``attempts``; output that is not a JSON object is asked for once more."""
+    """Append ``raw`` and ``attempts``; output that breaks the answer's rules is asked for once more.
+
+    With a column ``allowed_ids``, evidence ids that are not in it break them too.
+    """
     get = plugins._once(plugins.plugin("generator", name))
     columns = prompts.columns
 
-    def usable(text: str) -> bool:
-        import json
-
-        try:
-            return isinstance(json.loads(text), dict)
-        except (TypeError, ValueError):
-            return False
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts, out, tries = part["prompt"].tolist(), [], []
+            allowed = part["allowed_ids"].tolist() if "allowed_ids" in columns else [None] * len(part)
             for at in range(0, len(texts), batch):
                 some = texts[at : at + batch]
                 got = list(get()(some))
-                bad = [i for i, text in enumerate(got) if not usable(text)]
+                bad = [i for i, text in enumerate(got) if not usable_answer(text, allowed[at + i])]
                 for i, text in zip(bad, get()([some[i] for i in bad]) if bad else []):
                     got[i] = text
                 out += got
@@ -124,6 +149,13 @@ def answer_validate(outputs: DataFrame, failure: str = "The structured answer of
     known = F.array(F.lit("status"), F.lit("answer_blocks"), F.lit("limitations"))
     blocks = F.coalesce("p.answer_blocks", F.array().cast("array<struct<text:string,evidence_ids:array<string>>>"))
     shaped = parsed.withColumn("blocks", blocks)
+    # from_json would take a number for a text and leave out keys it doesn't know, so the written shape is checked too
+    written = F.try_parse_json("raw")
+    each = F.try_variant_get(written, "$.answer_blocks", "array<variant>")
+    has_blocks = F.array_contains("keys", "answer_blocks")
+    odd_block = F.coalesce(F.exists(each, lambda b: F.schema_of_variant(b) != BLOCK_SHAPE), has_blocks & each.isNull(), F.lit(False))
+    limits = F.schema_of_variant(F.try_variant_get(written, "$.limitations", "variant"))
+    odd_limits = F.array_contains("keys", "limitations") & F.coalesce(~limits.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(True))
     bad_block = F.exists(
         "blocks",
         lambda b: b["text"].isNull()
@@ -134,12 +166,14 @@ def answer_validate(outputs: DataFrame, failure: str = "The structured answer of
     broken = (
         F.col("keys").isNull()
         | (F.size(F.array_except("keys", known)) > 0)
-        | F.coalesce(~F.col("p.status").isin("answered", "insufficient_evidence", "conflicting_evidence"), F.lit(True))
+        | F.coalesce(~F.col("p.status").isin(*STATUSES), F.lit(True))
         | (F.size("blocks") > 12)
         | F.coalesce(F.size("p.limitations") > 8, F.lit(False))
         | ((F.col("p.status") == "answered") & (F.size("blocks") == 0))
         | ((F.col("p.status") != "answered") & (F.size("blocks") > 0))
         | bad_block
+        | odd_block
+        | odd_limits
     )
     wrong_id = F.exists(
         "blocks",

@@ -40,6 +40,14 @@ def test_bm25_against_brute_force(spark):
         assert [got[q][i] for i in sorted(got[q])] == brute_bm25(docs, text, 12), q
 
 
+def test_fill_ranks_above_negative_scores(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(1, 7)] + [(7, "c")], "chunk_id long, content string")
+    index = lexical.lex_index(docs, tokenize=tx.tok_ws)
+    asked = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    rows = sorted((r["rank"], r["chunk_id"], r["score"]) for r in lexical.lex_topk(index, asked, k=2).collect())
+    assert [r[1] for r in rows] == [7, 1] and rows[0][2] == 0 and rows[1][2] < 0
+
+
 def test_filters_apply_after_scoring(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, "a", "y"), (3, "c", "y")], "chunk_id long, content string, category string")
     index = lexical.lex_index(docs, tokenize=tx.tok_ws, carry=("category",))

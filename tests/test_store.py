@@ -66,3 +66,36 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in after.collect()) == sorted(r["chunk_id"] for r in vectors.collect())
     assert set(before) <= {r["chunk_id"] for r in after.collect()} and whole.count() == 3
     assert after.filter(F.size("dense") != 64).count() == 0
+
+
+def test_a_text_that_comes_back_is_current_again(spark, tmp_path):
+    inbox, root = str(tmp_path / "in"), str(tmp_path / "out")
+    hashes = []
+    for text in ("A", "B", "A"):
+        spark.createDataFrame([("a", "laws", "p", text)], ingest.INBOX_SCHEMA).coalesce(1).write.mode("append").json(inbox)
+        ingest.run_once(spark, inbox, root)
+        hashes += [r["content_hash"] for r in ingest.current(spark, root, "documents").collect()]
+    assert len(hashes) == 3 and hashes[0] == hashes[2] != hashes[1]
+
+
+def test_strict_chunks_fail_without_the_id_column(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"chunk_id": "a", "text": "1"}\n{"chunk_id": "a", "text": "2"}')
+    with pytest.raises(Exception, match="duplicate chunk_id a"):
+        readers.read_chunks(spark, str(tmp_path), "strict").select("text").collect()
+
+
+def test_vectors_written_twice_are_there_once_and_in_the_manifest_s_shard(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("chunk_id"), F.lit("m").alias("model_id"), F.lit("v").alias("corpus_version"), F.rand(1).alias("x"))
+    for _ in range(2):
+        writers.write_embeddings(rows, str(tmp_path / "e"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "e"))
+    assert back.count() == 20
+    counted = {r["shard"]: r["rows"] for r in writers.shard_hashes(rows, ["chunk_id"], shards=4).collect()}
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == counted
+
+
+def test_forced_version_replaces_the_old_one(spark, tmp_path):
+    writers.publish_version(spark.range(3), str(tmp_path), "1", "forced")
+    writers.publish_version(spark.range(5), str(tmp_path), "1", "forced", force=True)
+    assert spark.table("forced").count() == 5
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("_")] == []

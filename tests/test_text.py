@@ -56,3 +56,15 @@ def test_repeated_page_number_keeps_the_last(spark):
     got = {r["page"]: r["page_text"] for r in pages.page_bounds(docs).collect()}
     assert got == {1: "c", 2: "b"}
     assert {r["page"]: r["page_text"] for r in pages.page_bounds(docs, keep="first").collect()}[1] == "a"
+
+
+def test_composition_guard_covers_every_code_point(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    chars = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    changed = [(c,) for c in chars if unicodedata.normalize("NFC", c) != c] + [("e\u0301",), ("\u1100\u1161\u11a8",), ("\u09c7\u09be",)]
+    df = spark.createDataFrame(changed, "c string")
+    assert df.where(~F.col("c").rlike(tx.composed_class())).count() == 0
+    assert [r[0] for r in df.select(tx.nfc(F.col("c"))).collect()] == [unicodedata.normalize("NFC", c) for (c,) in changed]
