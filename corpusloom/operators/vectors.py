@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_to_shared
 from .lexical import top_k
 
-#: Numbers in a query batch that may be sent to every task (rows x dimensions).
-QUERY_CELLS = 32_000_000
-#: Rows of one cell when both sides have to be shuffled.
-GRID_ROWS = 20_000
+#: Numbers of a block of queries that is sent to the tasks (rows x dimensions).
+QUERY_CELLS = 4_000_000
+#: Scores a task computes in one product (queries x corpus rows).
+SCORE_CELLS = 4_000_000
 
 
 def _unit(rows) -> np.ndarray:
@@ -32,6 +33,15 @@ class _Best:
         self.ids: list[np.ndarray] = [np.empty(0, dtype=object)] * len(query_ids)
 
     def add(self, ids: np.ndarray, vectors, columns: list[np.ndarray]) -> None:
+        """Take in corpus rows, so many at a time that the product stays bounded."""
+        if not len(self.query_ids):
+            return
+        step = max(1, SCORE_CELLS // len(self.query_ids))
+        for start in range(0, len(ids), step):
+            cut = slice(start, start + step)
+            self._tile(ids[cut], vectors[cut], [c[cut] for c in columns])
+
+    def _tile(self, ids: np.ndarray, vectors, columns: list[np.ndarray]) -> None:
         scores = np.round(self.matrix @ _unit(vectors).T, 10)
         for i in range(len(self.query_ids)):
             row, keep = scores[i], None
@@ -46,7 +56,7 @@ class _Best:
                 at = at[part >= np.partition(part, len(part) - self.k)[len(part) - self.k]]
             both = np.concatenate([self.scores[i], row[at]])
             names = np.concatenate([self.ids[i], ids[at]])
-            order = sorted(range(len(both)), key=lambda j: (-both[j], names[j]))[: self.k]
+            order = np.lexsort((np.array(names.tolist()), -both))[: self.k] if len(both) else np.empty(0, dtype=np.int64)
             self.scores[i], self.ids[i] = both[order], names[order]
 
     def frame(self) -> pd.DataFrame:
@@ -69,9 +79,10 @@ def vec_topk_dense(
 ) -> DataFrame:
     """Exact cosine top-k of ``(query_id, vector)`` over ``(chunk_id, vector)``.
 
-    The query batch is measured first. Within the bound it is sent to the
-    tasks once and each corpus partition keeps its own k best, so no pair is
-    ever a row. Beyond it both sides meet in a grid of bounded cells.
+    Queries are cut into blocks of at most ``query_cells`` numbers. Each block
+    is sent to the tasks and scans the corpus, whose partitions keep their own
+    k best, so no pair is ever a row. Blocks and products are bounded whatever
+    the number of queries; one path serves all sizes.
     """
     spark = corpus.sparkSession
     kept = (corpus if where is None else corpus.filter(where)).select("chunk_id", "vector", *filters)
@@ -80,62 +91,38 @@ def vec_topk_dense(
     schema = f"query_id {id_types[0]}, chunk_id {id_types[1]}, score double"
     names = list(filters)
 
-    first = asked.select(F.size("vector").alias("d")).limit(1).collect()
-    dims = first[0]["d"] if first else 1
-    allowed = max(1, query_cells // max(1, dims))
-    rows = asked.limit(allowed + 1).collect()
-    if len(rows) <= allowed:
-        packed = spark.sparkContext.broadcast(
-            (
-                np.array([r["query_id"] for r in rows], dtype=object),
-                _unit([r["vector"] for r in rows]) if rows else np.empty((0, dims)),
-                [np.array([r[c] for r in rows], dtype=object) for c in names],
-            )
-        )
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(*packed.value, k)
-            for batch in batches:
-                if len(batch):
-                    best.add(
-                        batch["chunk_id"].to_numpy(dtype=object),
-                        batch["vector"].to_numpy(),
-                        [batch[c].to_numpy(dtype=object) for c in names],
-                    )
-            yield best.frame()
-
-        partial = kept.mapInPandas(scan, schema)
-    else:
-        partial = _grid(asked, kept, names, schema, k)
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("d")).first()
+    blocks = max(1, -(-size["n"] * max(1, size["d"]) // query_cells))
+    partial = None
+    for block in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        found = kept.mapInPandas(_scan(spark, mine.collect(), names, k), schema)
+        partial = found if partial is None else partial.unionByName(found)
     return top_k(partial, k).select("query_id", "chunk_id", "score", "rank")
 
 
-def _grid(asked: DataFrame, kept: DataFrame, names: list[str], schema: str, k: int) -> DataFrame:
-    """Both sides are large: copy rows to a grid so that every cell is bounded."""
-    q_cells = -(-asked.count() // GRID_ROWS) or 1
-    c_cells = -(-kept.count() // GRID_ROWS) or 1
-    left = asked.withColumn("qc", F.pmod(F.xxhash64("query_id"), F.lit(q_cells))).withColumn(
-        "cc", F.explode(F.sequence(F.lit(0), F.lit(c_cells - 1)))
-    )
-    right = kept.withColumn("cc", F.pmod(F.xxhash64("chunk_id"), F.lit(c_cells)).cast("int")).withColumn(
-        "qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_cells - 1).cast("long")))
+def _scan(spark, rows: list, names: list[str], k: int):
+    """The best rows of a partition for one block of queries."""
+    packed = spark.sparkContext.broadcast(
+        (
+            np.array([r["query_id"] for r in rows], dtype=object),
+            _unit([r["vector"] for r in rows]) if rows else np.empty((0, 1)),
+            [np.array([r[c] for r in rows], dtype=object) for c in names],
+        )
     )
 
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        best = _Best(
-            q["query_id"].to_numpy(dtype=object),
-            _unit(q["vector"].to_numpy()),
-            [q[n].to_numpy(dtype=object) for n in names],
-            k,
-        )
-        best.add(
-            c["chunk_id"].to_numpy(dtype=object), c["vector"].to_numpy(), [c[n].to_numpy(dtype=object) for n in names]
-        )
-        return best.frame()
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(*packed.value, k)
+        for batch in batches:
+            if len(batch):
+                best.add(
+                    batch["chunk_id"].to_numpy(dtype=object),
+                    batch["vector"].to_numpy(),
+                    [batch[c].to_numpy(dtype=object) for c in names],
+                )
+        yield best.frame()
 
-    return left.groupBy("qc", "cc").cogroup(right.groupBy("qc", "cc")).applyInPandas(cell, schema)
+    return scan
 
 
 def dot(a: str, b: str) -> Column:
@@ -152,12 +139,16 @@ def vec_topk_ann(
     queries: DataFrame,
     corpus: DataFrame,
     k: int = 30,
-    bucket_length: float = 1.0,
+    bucket_length: float = 0.5,
     tables: int = 8,
-    max_distance: float = 1.6,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate top-k: hashed buckets give candidates, exact cosine ranks them."""
+    """Approximate top-k: hashed buckets give candidates, exact cosine ranks them.
+
+    Nothing is cut by distance, and a query whose buckets hold fewer than ``k``
+    candidates is searched exactly, so every query gets ``k`` rows if the
+    corpus has them.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -171,14 +162,17 @@ def vec_topk_ann(
     lsh = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
     ).fit(right)
-    near = lsh.approxSimilarityJoin(left, right, max_distance, distCol="distance")
+    near = lsh.approxSimilarityJoin(left, right, 2.1, distCol="distance")  # unit vectors are at most 2 apart
     # For unit vectors the cosine follows exactly from the distance.
     scored = near.select(
         F.col("datasetA.query_id").alias("query_id"),
         F.col("datasetB.chunk_id").alias("chunk_id"),
         (1 - F.col("distance") * F.col("distance") / 2).alias("score"),
     )
-    return top_k(scored, k).select("query_id", "chunk_id", "score", "rank")
+    found = persist_to_shared(top_k(scored, k).select("query_id", "chunk_id", "score", "rank"), "ann")
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    rest = vec_topk_dense(queries.join(full, "query_id", "left_anti"), corpus, k)
+    return found.join(full, "query_id", "left_semi").unionByName(rest)
 
 
 def query_vector_errors(queries: DataFrame, dims: int) -> DataFrame:

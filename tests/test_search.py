@@ -62,11 +62,11 @@ def vec_rows(spark, n, d, key, seed):
     return spark.createDataFrame([(i, rng.normal(size=d).tolist()) for i in range(n)], f"{key} long, vector array<double>")
 
 
-def test_grid_path_equals_broadcast_path(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "GRID_ROWS", 40)
+def test_blocks_and_tiles_change_nothing(spark, monkeypatch):
     q, c = vec_rows(spark, 90, 6, "query_id", 1), vec_rows(spark, 170, 6, "chunk_id", 2)
     a = vectors.vec_topk_dense(q, c, 7).collect()
-    b = vectors.vec_topk_dense(q, c, 7, query_cells=10).collect()
+    monkeypatch.setattr(vectors, "SCORE_CELLS", 100)
+    b = vectors.vec_topk_dense(q, c, 7, query_cells=120).collect()
     assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in a) == sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in b)
     assert len(a) == 630
 
@@ -75,7 +75,7 @@ def test_ann_recall(spark):
     q, c = vec_rows(spark, 10, 8, "query_id", 1), vec_rows(spark, 200, 8, "chunk_id", 2)
     exact = {(r["query_id"], r["chunk_id"]) for r in vectors.vec_topk_dense(q, c, 5).collect()}
     near = {(r["query_id"], r["chunk_id"]) for r in vectors.vec_topk_ann(q, c, 5).collect()}
-    assert len(exact & near) / len(exact) > 0.8
+    assert len(exact & near) / len(exact) > 0.8 and len(near) == 50
 
 
 def ranked(spark, rows):
