@@ -6,7 +6,7 @@ Two sets of sizes a and b reach the threshold if they share T = ceil(0.9 / 1.9 (
 2. Shingles are ordered by length and hash, long inverted lists last. A class indexes the prefix of its order that any partner must
    meet, so the short lists are merged and long ones never propose a pair. A class whose prefix does not fill up with short
    lists (its shingles are nearly all long) also uses its long ones, dealt to blocks of bounded size.
-3. Within a list, size, position and a 64-cell histogram, whose distance bounds the symmetric difference from below, leave
+3. Within a list, size, position and a 32-cell histogram, whose distance bounds the symmetric difference from below, leave
    out pairs that can't reach T. All three are exact bounds.
 4. Every list first proposes its members to its centre, the largest class. Verified links give components, and the other
    pairs are proposed only between different components, so a large group of near copies costs its size, not its square.
@@ -30,7 +30,7 @@ from .common import filled, persist_to_shared, slices, utf8_buffer, whole_runs
 #: Members up to which an inverted list is short.
 SHORT = 400
 #: Pairs looked at together, and cells of the histogram.
-PAIRS, CELLS = 200_000, 64
+PAIRS, CELLS = 200_000, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -304,22 +304,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_ranks = shared.where("long").groupBy("cid").agg(F.array_sort(F.collect_list("rank")).alias("long_ranks"))  # a class's own, few
     none = F.array().cast("array<int>")
     spare = F.least(F.col("n"), p + F.floor(p / 8) + 6)
-    marked = shared.join(long_ranks, "cid", "left").withColumn("long_ranks", F.coalesce("long_ranks", none))
-    marked = marked.withColumn("over", spare - F.size("long_ranks") < p).withColumn("hp", F.col("rank") < p)
-    marked = marked.withColumn("place", F.col("rank") - F.size(F.filter("long_ranks", lambda r: r < F.col("rank"))))
-    marked = marked.withColumn("sel", ~F.col("long") & ~F.col("over") & (F.col("place") < p)).where("(sel or hp) and (not long or hp)")
-    marked = persist_to_shared(marked.select("token", "cid", "n", "rank", "df", "long", "over", "hp", "place", "sel"), "join-marked")
-    hard = marked.where("long and over").select("token").distinct()
-    lists = marked.where("not long").unionByName(marked.where("long").join(hard, "token", "left_semi"))
-    blocks = F.when(F.col("long"), F.ceil(F.col("df") / short)).otherwise(1)
-    lists = lists.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    lists = lists.withColumn("other", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    facts = classes.select("cid", "weight", "sketch")
+    facts = classes.select("cid", "weight", "sketch").join(long_ranks, "cid", "left").withColumn("long_ranks", F.coalesce("long_ranks", none))
+
+    def located(rows: DataFrame) -> DataFrame:
+        """Which prefix each posting is in: of the plain order (hp), or of the one with long lists last (sel)."""
+        rows = rows.withColumn("over", spare - F.size("long_ranks") < p).withColumn("hp", F.col("rank") < p)
+        rows = rows.withColumn("place", F.col("rank") - F.size(F.filter("long_ranks", lambda r: r < F.col("rank"))))
+        rows = rows.withColumn("sel", ~F.col("long") & ~F.col("over") & (F.col("place") < p)).where("(sel or hp) and (not long or hp)")
+        return rows.drop("long_ranks")
+
+    hard = located(shared.where("long").join(facts.select("cid", "long_ranks"), "cid")).where("over").select("token").distinct()
+    hard = persist_to_shared(hard, "join-hard")
+    easy = shared.where("not long").unionByName(shared.where("long").join(hard, "token", "left_semi"))
 
     def proposed(extra: DataFrame | None, name: str) -> DataFrame:
-        rows = lists.join(facts, "cid")
-        rows = rows.withColumn("label", F.lit(0).cast("long")) if extra is None else rows.join(extra, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        rows = easy.join(facts.withColumn("label", F.lit(0).cast("long")) if extra is None else facts.join(extra, "cid"), "cid")
+        rows = located(rows).withColumn("blocks", F.when(F.col("long"), F.ceil(F.col("df") / short)).otherwise(1))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
         rows = rows.select("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "sketch")
         rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return persist_to_shared(rows.mapInArrow(_propose(percent, extra is None), PROPOSED).distinct(), name)
@@ -336,7 +339,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = persist_to_shared(texts.dropDuplicates(["cid"]), "join-texts")
     links = verified(first.where("a < b"), "join-links")
     labels = components(links, "join-first")
-    more = verified(proposed(labels, "join-rest"), "join-more")
+    # a pair that is left has both members among those that could pair before
+    partners = first.where("a = b").select(F.col("a").alias("cid")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    more = verified(proposed(partners, "join-rest"), "join-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), "join-all")
     rooted = classes.select("cid", "k1", "k2", "n", "doc_id", "weight").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
