@@ -201,7 +201,7 @@ def id_collisions(spark, sf):
 
 REPORT_SQL = f"""
 spread AS (SELECT document_id, count(*) AS child_count, min(token_count) AS min_tokens, floor(median(token_count))::BIGINT AS median_tokens, max(token_count) AS max_tokens,
-   list_sort(list(token_count))[least(count(*), floor((count(*) - 1) * 0.95 + 0.999999)::BIGINT + 1)] AS p95_tokens FROM chunks GROUP BY ALL),
+   list_sort(list(token_count))[least(count(*), ceil(round((count(*) - 1) * 0.95, 6))::BIGINT + 1)] AS p95_tokens FROM chunks GROUP BY ALL),
 tables AS (SELECT document_id, sum((kind = 'table')::INT) AS table_count, sum((kind = 'unclassified')::INT) AS unclassified_node_count FROM heads GROUP BY ALL),
 opens AS (SELECT document_id, sum((NOT resolved)::INT) AS unresolved_reference_count FROM resolved GROUP BY ALL),
 dups AS (SELECT document_id, sum(size - 1) AS duplicate_chunk_count FROM doubles GROUP BY ALL),
@@ -229,7 +229,7 @@ def quality_report(spark, sf):
 
 @query(
     "percentile_upper",
-    "SELECT event_type, list_sort(list(value))[least(count(*), floor((count(*) - 1) * 0.95 + 0.999999)::BIGINT + 1)] AS p95 FROM events GROUP BY event_type",
+    "SELECT event_type, list_sort(list(value))[least(count(*), ceil(round((count(*) - 1) * 0.95, 6))::BIGINT + 1)] AS p95 FROM events GROUP BY event_type",
 )
 def percentile_upper(spark, sf):
     from .registry import table
@@ -249,7 +249,7 @@ def quality_gate(spark, sf):
     "corpus_manifest",
     _FULL + """ SELECT (SELECT count(*) FROM reports) AS discovered, (SELECT sum((status = 'failed')::INT) FROM reports) AS failed, (SELECT sum(unresolved_reference_count) FROM reports) AS unresolved_references,
       (SELECT sum(unclassified_node_count) FROM reports) AS unclassified_nodes, (SELECT count(*) FROM chunks) AS child_count, (SELECT min(token_count) FROM chunks) AS token_min, (SELECT floor(median(token_count)) FROM chunks)::BIGINT AS token_median,
-      (SELECT max(token_count) FROM chunks) AS token_max, (SELECT list_sort(list(token_count))[floor((count(*) - 1) * 0.95 + 0.999999)::BIGINT + 1] FROM chunks) AS token_p95,
+      (SELECT max(token_count) FROM chunks) AS token_max, (SELECT list_sort(list(token_count))[ceil(round((count(*) - 1) * 0.95, 6))::BIGINT + 1] FROM chunks) AS token_p95,
       (SELECT count(DISTINCT parent_chunk_id) FROM chunks) AS parent_count,
       (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM chunks GROUP BY kind)) AS chunk_types,
       (SELECT string_agg(flag || '=' || n, ',' ORDER BY flag) FROM (SELECT unnest(string_split(quality_flags, ',')) AS flag, count(*) AS n FROM reports WHERE quality_flags <> '' GROUP BY 1)) AS flags""",

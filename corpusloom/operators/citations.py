@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..session import matching
 
 
 def number_citations(answers: DataFrame) -> DataFrame:
@@ -72,11 +73,12 @@ def resolve_citations(numbered: DataFrame, evidence: DataFrame, artifacts: DataF
     document_id, document_version_id, content_sha256, source_sha256, quotes``.
     """
     cited = numbered.select("query_id", "evidence_id", "citation").distinct()
-    stored = artifacts.select(
+    known = cited.join(evidence, ["query_id", "evidence_id"], "left")
+    stored = matching(artifacts, known, "artifact_id").select(
         "artifact_id", F.col("artifact_type").alias("a_type"), F.col("document_version_id").alias("a_version"), F.col("content_sha256").alias("a_sha")
     )
-    texts = sources.select("document_id", F.col("source_sha256").alias("s_sha"), ids.sha256(F.col("text")).alias("t_sha"))
-    joined = cited.join(evidence, ["query_id", "evidence_id"], "left").join(stored, "artifact_id", "left").join(texts, "document_id", "left")
+    texts = matching(sources, known, "document_id").select("document_id", F.col("source_sha256").alias("s_sha"), ids.sha256(F.col("text")).alias("t_sha"))
+    joined = known.join(stored, "artifact_id", "left").join(texts, "document_id", "left")
     error = (
         F.when(F.col("artifact_id").isNull(), "unknown evidence")
         .when(F.col("a_type").isNull(), "evidence artifact no longer exists")
@@ -96,7 +98,7 @@ def resolve_citations(numbered: DataFrame, evidence: DataFrame, artifacts: DataF
 def answer_sources_v1(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """Numbered sources of an answer: preview, title and page fallbacks, scores."""
     rows = answers.select("query_id", F.posexplode("sources").alias("i", "s")).select("query_id", "i", "s.*")
-    return rows.join(chunks, "chunk_id", "left").select(
+    return rows.join(matching(chunks, rows, "chunk_id"), "chunk_id", "left").select(
         "query_id",
         (F.col("i") + 1).alias("citation"),
         "chunk_id",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import matching
 
 
 def ranked_lists(ranked: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -230,7 +231,7 @@ def answer_eval_summary(rows: DataFrame) -> DataFrame:
 def enrich_contexts(answers: DataFrame, chunks: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Answers' id lists joined to chunks in order; ids not found are listed."""
     asked = answers.select(*keys, F.posexplode("retrieved_chunk_ids").alias("pos", "chunk_id"))
-    found = asked.join(chunks.select("chunk_id", "text", *fields).withColumn("hit", F.lit(True)), "chunk_id", "left")
+    found = asked.join(matching(chunks.select("chunk_id", "text", *fields), asked, "chunk_id").withColumn("hit", F.lit(True)), "chunk_id", "left")
     item = F.struct("pos", "chunk_id", F.coalesce("hit", F.lit(False)).alias("hit"), "text", *fields)
     lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     out = answers.join(lists, list(keys), "left")

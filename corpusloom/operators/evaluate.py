@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import matching
 
 CUTOFFS = (5, 10, 20, 30)
 
@@ -52,7 +53,8 @@ def eval_ranking_v2(
     clean = distinct_ranked(ranked, keys).filter(F.col("rank") <= max(cutoffs))
     rows = clean.join(hits, ["query_id", "chunk_id"], "left")
     if meta is not None:
-        rows = rows.join(meta.select("chunk_id", "logical_chunk_id", "document_version_id"), "chunk_id", "left")
+        wanted = matching(meta, clean, "chunk_id").select("chunk_id", "logical_chunk_id", "document_version_id")
+        rows = rows.join(wanted, "chunk_id", "left")
         for name in ("logical_chunk_id", "document_version_id"):
             known = gold.select("query_id", name).distinct().withColumn(f"gold_{name}", F.lit(1))
             rows = rows.join(known, ["query_id", name], "left")

@@ -66,6 +66,12 @@ def small_side(df: DataFrame, probe: DataFrame | None = None, rows: int = SMALL_
     return F.broadcast(df) if has_at_most(df if probe is None else probe, rows) else df
 
 
+def matching(wide: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of a wide table that a short list asks for, found before they are joined or hashed."""
+    ids = asked.select(key).distinct()
+    return wide.join(small_side(ids), key, "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than the session has cores.
 
