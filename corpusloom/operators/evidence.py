@@ -22,6 +22,18 @@ def _by_relation(values: dict[str, int]) -> Column:
     return out
 
 
+def corpus_artifacts(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children and parents of a build as the artifacts that its edges lead to."""
+    below = children.select(
+        F.col("chunk_id").alias("artifact_id"), F.lit("child").alias("artifact_type"), "split_count", "continuation_of", "logical_chunk_id"
+    )
+    above = parents.select(
+        F.col("parent_chunk_id").alias("artifact_id"), F.lit("parent").alias("artifact_type"), F.lit(None).cast("int").alias("split_count"),
+        F.lit(None).cast("string").alias("continuation_of"), F.lit("").alias("logical_chunk_id"),
+    )
+    return below.unionByName(above)
+
+
 def inspect_edges(seeds: DataFrame, edges: DataFrame, artifacts: DataFrame, min_confidence: float = 0.8) -> DataFrame:
     """Every edge of every seed with the decision taken on it.
 

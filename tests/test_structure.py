@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, relations, structure
+from corpusloom.operators import chunking, evidence, relations, structure
 from corpusloom.plans import corpus
 from corpusloom.session import persist_to_shared
 
@@ -141,6 +141,16 @@ def test_references_resolve_only_when_unique(spark):
     assert relations.backlinks(c.references).count() == sum(1 for r in c.references.collect() if r["resolved"])
 
 
+def test_edges_of_a_build_expand(spark):
+    c = build(spark, "Maddə 1. Ad\n1.1. Maddə 2 ilə\nMaddə 2. Tək məzmun\nMaddə 3. Maddə 9 yoxdur")
+    seeds = c.children.select(F.lit(1).alias("query_id"), "chunk_id", F.col("chunk_no").alias("final_rank"))
+    inspected = evidence.inspect_edges(seeds, c.edges, evidence.corpus_artifacts(c.children, c.parents))
+    out, notes = evidence.expand(seeds, inspected)
+    roles = {(r["role"], r["relation_type"]) for r in out.collect()}
+    assert ("seed", None) in roles and ("expanded", "parent") in roles and ("expanded", "reference") in roles
+    assert "unresolved reference" in {r["reason"] for r in notes.collect()}
+
+
 def test_same_result_for_any_partitioning(spark):
     text = "Maddə 1. Ad\n1.1. Alfa\nmətn\n2. Beta"
     docs = spark.createDataFrame([(str(i), text + f" {i}") for i in range(20)], "document_id string, text string")
