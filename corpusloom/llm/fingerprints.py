@@ -106,7 +106,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     width = max(1, (high - low + 1) * BLOCK // max(n, 1))
     doc_id = F.col(id_col).cast("long")
     keyed = docs.select(
-        doc_id.alias("doc_id"), filled(text_col).alias("text"), F.coalesce(F.floor((doc_id - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long").alias("block")
+        doc_id.alias("doc_id"), filled(text_col).alias("text"), F.coalesce(F.floor((doc_id.cast("double") - F.lit(float(low))) / F.lit(float(width))), F.lit(-1)).cast("long").alias("block")
     ).withColumn("mark", F.xxhash64("text"))
     blocks = persist_to_shared(_next_blocks(keyed.select("block").distinct()), "print-blocks")
     heads = keyed.groupBy("block").agg(F.max_by("text", F.struct("doc_id", "mark")).alias("donor"))

@@ -238,28 +238,29 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int) -> n
     return counts >= need
 
 
-def _verify(size: int, percent: int, together: int = 256):
-    """Pairs ``a, b`` with both texts, sorted by a, that reach the threshold."""
+def _verify(size: int, percent: int, limit: int = 1 << 20):
+    """Pairs ``a, b`` with both texts, sorted by a, that reach the threshold. Texts of ``limit`` bytes are open together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, opener = Shingler(size), zstandard.ZstdDecompressor()
         unpack = lambda blobs: shingler.sets(pa.array([opener.decompress(b) for b in blobs], pa.binary()))
         last, query = None, None
         for batch in batches:
-            for piece in (batch.slice(k, together) for k in range(0, batch.num_rows, together)):
-                a, b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
-                members = unpack(piece.column("packed_b").to_pylist())
-                good = np.zeros(len(a), bool)
-                k = 0
-                while k < len(a):
-                    end = k
-                    while end < len(a) and a[end] == a[k]:
-                        end += 1
-                    if a[k] != last:
-                        last, query = a[k], unpack([piece.column("packed_a")[k].as_py()])[0]
-                    good[k:end] = divide_skip(query, members[k:end], percent)
-                    k = end
-                yield pa.RecordBatch.from_arrays([piece.column("a").filter(pa.array(good)), piece.column("b").filter(pa.array(good))], ["a", "b"])
+            a = batch.column("a").to_pylist()
+            good = np.zeros(len(a), bool)
+            k = 0
+            while k < len(a):
+                if a[k] != last:
+                    last, query = a[k], unpack([batch.column("packed_a")[k].as_py()])[0]
+                end, blobs, held = k, [], 0
+                while end < len(a) and a[end] == last and (not blobs or held < limit):
+                    blobs.append(batch.column("packed_b")[end].as_py())
+                    held += zstandard.frame_content_size(blobs[-1])
+                    end += 1
+                good[k:end] = divide_skip(query, unpack(blobs), percent)
+                k = end
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
