@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from .common import filled, slices
 
 #: Words a worker remembers: two generations of so many. It bounds memory, not results.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Tested pairs a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: Symbols up to which a word is merged by looking at all its pairs each time.
 SHORT = 40
 #: Text bytes encoded before a batch is handed on.
-OUT_BYTES = 8 << 20
+OUT_BYTES = 2 << 20
 
 # Fixed values of the vocabulary's format: its white space, its word pattern and its byte alphabet.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
