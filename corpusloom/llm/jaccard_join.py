@@ -150,8 +150,8 @@ PROPOSED = "a long, b long"
 
 
 def _propose(percent: int, centres: bool):
-    """Pairs of a list's members that can reach the threshold. ``centres``: only with the list's centre, and (x, null) for
-    every member x of such a pair; else all pairs of different labels."""
+    """Pairs of a list's members that can reach the threshold. ``centres``: only with the list's centre, and (x, x) for
+    every other member x of a pair; else all pairs of different labels."""
 
     def chunk(table: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label")}
@@ -191,9 +191,11 @@ def _propose(percent: int, centres: bool):
             fit = apart <= n[i] + n[j] - 2 * need
             i, j = i[fit], j[fit]
             if centres:
-                found += [np.stack([cid[np.unique(np.concatenate([i, j]))]] * 2, 1)] if len(i) else []
+                able = np.unique(np.concatenate([i, j]))
                 fit = (i == centre[i]) | (j == centre[i])
                 i, j = i[fit], j[fit]
+                alone = cid[np.setdiff1d(able, np.concatenate([i, j]))]
+                found.append(np.stack([alone, alone], 1))
             x, y = cid[i], cid[j]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -334,14 +336,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return persist_to_shared(sides.select("a", "b", "packed_a", "packed_b").mapInArrow(_verify(size, percent), PROPOSED), name)
 
     first = proposed(None, "join-centres")
-    wanted = first.where("a = b").select(F.col("a").alias("cid")).join(classes.select("cid", "doc_id", "mark"), "cid")
+    able = persist_to_shared(first.select(F.col("a").alias("cid")).union(first.select("b")).distinct(), "join-able")
+    wanted = able.join(classes.select("cid", "doc_id", "mark"), "cid")
     packed = keyed.mapInArrow(_pack, "doc_id long, mark long, packed binary").withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
     texts = packed.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__mark") == F.col("mark"))).select("cid", "packed")
     texts = persist_to_shared(texts.dropDuplicates(["cid"]), "join-texts")
     links = verified(first.where("a < b"), "join-links")
     labels = components(links, "join-first")
     # a pair that is left has both members among those that could pair before
-    partners = first.where("a = b").select(F.col("a").alias("cid")).join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    partners = able.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     more = verified(proposed(partners, "join-rest"), "join-more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), "join-all")
