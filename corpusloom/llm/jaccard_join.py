@@ -282,13 +282,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, short: int = SHORT) -> DataFrame:
-    """``doc_id, mark, n_shingles, component_id, class_size`` of every row.
+    """``doc_id, mark, n_shingles, component_id, weight, label`` of every row.
 
     A set holds the distinct runs of ``size`` words (A-Z lower-cased, split at blanks, tabs and line ends), or the whole
     text as one if it has fewer. Rows link when 100 x intersection >= ``percent`` x union; ``component_id`` is the smallest
     id that links reach, the row's own included. Null text and text without words have the empty set, which links with
     nothing, and keep their own id. Equal sets always link, so rows that repeat are one class. A null id counts as larger
-    than any other. Other columns are ignored, an empty table gives an empty one. ``mark`` is a hash of the text.
+    than any other. Other columns are ignored, an empty table gives an empty one. ``mark`` is a hash of the text,
+    ``weight`` the rows of its class. ``label`` numbers the components, as their ids may be null or shared; it is null for the
+    empty set.
 
     Shingles are compared by 64-bit keys.
     """
@@ -351,16 +353,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.select("cid", "k1", "k2", "n", "doc_id", "weight").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     rooted = persist_to_shared(rooted, "join-rooted")
     least = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    reached = persist_to_shared(rooted.join(least, "label").select("k1", "k2", "n", "component_id", "weight"), "join-components")
+    reached = persist_to_shared(rooted.join(least, "label").select("k1", "k2", "n", "component_id", "weight", "label"), "join-components")
     out = members.join(reached, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "weight")
+    return out.select("doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "weight", "label")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row with the smallest id of each component, with all columns; rows without words all stay."""
+    """The row with the smallest id of each component, with all columns; rows without words all stay.
+
+    Components that share their smallest id, or have no id at all, keep a row each. Of different texts under that id, the one
+    with the smallest hash stays.
+    """
     near = near_components(docs, **options).where("n_shingles = 0 or doc_id <=> component_id")
-    near = near.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "n_shingles").distinct()
+    empty = F.col("n_shingles") == 0
+    near = near.groupBy("label", F.when(empty, F.col("doc_id")), F.when(empty, F.col("mark"))).agg(F.min("doc_id").alias("__id"), F.min("mark").alias("__mark"))
+    near = near.select("__id", "__mark", F.col("label").alias("__label"))
     marked = docs.withColumn("__text_mark", F.xxhash64(filled(F.col("text").cast("string"))))
     kept = marked.join(near, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_mark") == F.col("__mark")))
-    full = kept.where("n_shingles > 0").dropDuplicates(["__id"])
-    return full.unionByName(kept.where("n_shingles = 0")).select(*docs.columns)
+    full = kept.where("__label is not null").dropDuplicates(["__label"])
+    return full.unionByName(kept.where("__label is null")).select(*docs.columns)

@@ -83,6 +83,17 @@ def test_keep_one_of_each_component(spark):
     assert collections.Counter(r.doc_id for r in kept.select("doc_id").collect()) == collections.Counter([w[2] for w in want if w[1] and w[0] == w[2]] + [w[0] for w in want if not w[1]])
 
 
+def test_keep_one_keeps_a_row_of_components_that_share_an_id(spark):
+    draw = random.Random(8)
+    a, b, c, d = ([f"{x}{draw.randrange(10**6)}" for _ in range(60)] for x in "abcd")
+    text = lambda w, n=0: " ".join(w + ["end"] * n)
+    rows = [(7, text(a)), (7, text(b)), (8, text(a, 1)), (None, text(c)), (None, text(c, 1)), (None, text(c)), (None, text(d)), (None, ""), (None, None)]
+    kept = [(r.doc_id, (r.text or "").split()[:1]) for r in jaccard_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(7, a[:1]), (7, b[:1]), (None, c[:1]), (None, d[:1]), (None, []), (None, [])], key=str)
+    many = [(None, " ".join(f"t{k}x{i}" for i in range(9))) for k in range(50)]
+    assert jaccard_join.keep_one(frame(spark, many)).count() == 50
+
+
 def test_divide_skip_counts_as_sets_do():
     draw = np.random.default_rng(1)
     for _ in range(60):
