@@ -87,6 +87,28 @@ def test_layouts(spark):
     assert got[5] == got[6] == got[7] == (None, []) and got[8][1] == [("system", "i"), ("user", "n"), ("assistant", "o")] and got[9][1] == [("user", "5")]
 
 
+def test_chats_with_texts_over_the_parsers_limit_stay_whole(spark):
+    n = 21_000_000
+    long = F.repeat(F.lit("a"), F.lit(n))
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "long"), (2, 0, "user", "long")], "conv_id long, turn long, role string, text string")
+    rows = rows.withColumn("text", F.when(F.col("text") == "long", long).otherwise(F.col("text")))
+    chats = chat_format.read_layouts(chat_format.as_records(rows), "conv_id", "record")
+    size = lambda c: F.transform("turns", lambda t: F.length(t["text"])).alias(c)
+    assert sorted(map(tuple, chats.select("conv_id", "layout", size("n")).collect())) == [(1, "prompt_response", [1, n]), (2, "messages", [n])]
+    text = spark.range(1).select("id", F.concat(F.lit('{"prompt": "p", "response": "'), long, F.lit('"}')).alias("record"))
+    assert [tuple(r) for r in chat_format.read_layouts(text, "id", "record").select("layout", size("n")).collect()] == [("prompt_response", [1, n])]
+    with pytest.raises(Exception, match="too large for a variant"):
+        chat_format.read_layouts(text.withColumn("record", F.concat(F.col("record"), F.lit("{")).substr(F.lit(1), F.lit(n))), "id", "record").collect()
+
+
+def test_layouts_of_structs(spark):
+    kind = "conv_id long, record struct<prompt:string,completion:string,other:string,messages:array<struct<role:string,content:string>>,conversations:array<struct<`from`:string>>>"
+    records = [(1, ("p", "c", None, None, None)), (2, (None, None, None, [("user", "v"), ("a", None)], None)), (3, (None, None, None, [], None)), (4, ("p", "c", "x", None, None)), (5, None), (6, (None, None, None, None, [("u",)]))]
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns]) for r in chat_format.read_layouts(spark.createDataFrame(records, kind), "conv_id", "record").collect()}
+    assert got[1] == ("prompt_completion", [("user", "p"), ("assistant", "c")]) and got[2] == ("messages", [("user", "v"), ("a", "")])
+    assert got[3] == ("no_messages", []) and got[4] == got[5] == got[6] == (None, [])
+
+
 def doc_rows(n=400):
     draw = random.Random(5)
     rows = [(i, draw.choice(["a", "a", "a", "b", "c", "é", None]), "w " * draw.randint(0, 60)) for i in range(n)]
