@@ -177,6 +177,15 @@ def test_registered_queries_agree_with_their_sql(spark):
         assert ok, note
 
 
+def test_pipeline_near_stage_links_two_edits_in_a_hundred_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    edited = ["x" if i in (30, 60) else w for i, w in enumerate(words)]  # five words: 86 / 106 = 0.81; three: 92 / 104 = 0.88
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "a b c d e f")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline
 
