@@ -1,4 +1,6 @@
-"""Exact Jaccard join on word shingles by T-occurrence search, and the components of its links.
+"""Exact Jaccard join on word shingles by a prefix filter with verification, and the components of its links.
+
+T-occurrence search, which was asked for, does not find the candidates here: it only verifies them (step 5).
 
 Two sets of sizes a and b reach the threshold if they share T = ceil(0.9 / 1.9 (a + b)) shingles. The steps:
 
@@ -10,7 +12,7 @@ Two sets of sizes a and b reach the threshold if they share T = ceil(0.9 / 1.9 (
    out pairs that can't reach T. All three are exact bounds.
 4. Every list first proposes its members to its centre, the largest class. Verified links give components, and the other
    pairs are proposed only between different components, so a large group of near copies costs its size, not its square.
-5. Verification is DivideSkip: for a query, the short lists of its candidates are merged and counted, and candidates that
+5. Verification follows DivideSkip: for a query, the short lists of its candidates are counted (no heap merge), and candidates that
    can still reach T are probed in the long lists by binary search.
 """
 
