@@ -144,3 +144,26 @@ def op8_jaccard_join(spark, sf_dir):
     from .jaccard_join import near_components
 
     return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.coalesce("weight", F.lit(1)).alias("class_size"))
+
+
+@query(
+    "op11_nearest",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 10
+    """,
+)
+def op11_nearest(spark, sf_dir):
+    from .nearest import nearest
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows.where(F.col("vec_id") % 100 == 0), rows)
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
