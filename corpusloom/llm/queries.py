@@ -167,3 +167,30 @@ def op12_whitening(spark, sf_dir):
     from .whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH t AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+      regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+    p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+    s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k > 1 AND a >= 30),
+    cut AS (SELECT lang, k, phrase, w, a, unnest(range(1, k)) AS pos FROM c),
+    scored AS (SELECT x.lang, x.k, x.phrase, x.a, x.pos, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a) // (l.a + r.a) AS score FROM cut x
+      JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[:x.pos], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.pos + 1:], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+    inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+    alive AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM alive JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op13_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
