@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import filled, persist_to_shared, slices, utf8_buffer
 
 #: Bits of a bitmap (8 MB), text read together, and the scale of scores.
-BITS, BLOCK, SCALE = 1 << 26, 8 << 20, 2_000_000
+BITS, BLOCK, SCALE = 1 << 26, 3 << 20, 2_000_000
+
+# Fixed values of the public XXH64 algorithm.
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
@@ -63,37 +66,83 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found, home, piece
 
 
+def _xx64(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of longs, which continues from a seed."""
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = (seed + np.uint64(_P5 + 8)) ^ (turn(value * np.uint64(_P2), 31) * np.uint64(_P1))
+    h = turn(h, 27) * np.uint64(_P1) + np.uint64(_P4)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(_P2)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_P3)
+    return h ^ (h >> np.uint64(32))
+
+
+def phrase_hash() -> Column:
+    """Spark's side of it: the hash of the language, then of each word."""
+    return F.xxhash64(F.xxhash64("lang"), F.transform(F.split("phrase", " "), lambda w: F.xxhash64(w)))
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in the order they appear, which of them stands at each place, and how often each does."""
+    coded = pa.array(key).dictionary_encode()
+    at = coded.indices.to_numpy().astype(np.int64)
+    return coded.dictionary.to_numpy(), at, np.bincount(at, minlength=len(coded.dictionary))
+
+
 class _Types:
-    """Distinct phrases of a block: which of them stands at each place (-1: none), their texts, languages and counts."""
+    """Distinct phrases of a block: which of them stands at each place (-1: none), their words (numbers of the units),
+    hashes and counts."""
 
-    def __init__(self, at: np.ndarray, text: pa.Array, lang: np.ndarray, count: np.ndarray) -> None:
-        self.at, self.text, self.lang, self.count = at, text, lang, count
-        self.hashes: np.ndarray | None = None
+    def __init__(self, at: np.ndarray, words: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> None:
+        self.at, self.words, self.hashes, self.count = at, words, hashes, count
 
     def cut(self, keep: np.ndarray) -> "_Types":
         """Only the phrases of ``keep``; the others stand nowhere any more."""
         number = np.full(len(keep) + 1, -1)
         number[:-1][keep] = np.arange(keep.sum())
-        return _Types(number[self.at], self.text.filter(pa.array(keep)), self.lang[keep], self.count[keep])
+        return _Types(number[self.at], self.words[keep], self.hashes[keep], self.count[keep])
 
-    def member(self, maps: dict, name: str, langs: list[bytes]) -> np.ndarray:
-        """Which phrases a bitmap holds. Spark set its bits by the same hash of language and phrase."""
-        if self.hashes is None:
-            seeds = [xxhash.xxh64_intdigest(x, 42) for x in langs]
-            self.hashes = np.array([xxhash.xxh64_intdigest(t, seeds[k]) for t, k in zip(self.text.to_pylist(), self.lang.tolist())], np.uint64)
+    def member(self, maps: dict, name: str) -> np.ndarray:
+        """Which phrases a bitmap holds."""
         at = (self.hashes & np.uint64(BITS - 1)).astype(np.int64)
         return (maps[name].value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
+    def grow(self, places: np.ndarray, unit: "_Units", size: int) -> "_Types":
+        """Phrases of ``size`` words that begin at ``places``: the one of this table there and the word behind it."""
+        value, at, count = _numbered(self.at[places] * len(unit.text) + unit.at[places + size - 1])
+        head, tail = value // max(1, len(unit.text)), value % max(1, len(unit.text))
+        whole = np.full(len(self.at), -1)
+        whole[places] = at
+        return _Types(whole, np.column_stack([self.words[head], tail]), _xx64(unit.word_hashes[tail], self.hashes[head]), count)
+
+
+class _Units:
+    """The words of a block, by language."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        languages = batch.column("lang").dictionary_encode()
+        self.names = [x.encode() for x in languages.dictionary.to_pylist()]
+        found, home, self.piece = words(batch.column("text"))
+        spelt = found.dictionary_encode()
+        known = max(1, len(spelt.dictionary))
+        tongue = languages.indices.to_numpy()[home].astype(np.int64)
+        value, self.at, self.count = _numbered(tongue * known + spelt.indices.to_numpy())
+        self.totals = np.bincount(tongue, minlength=len(self.names))
+        self.text, self.lang = spelt.dictionary.take(pa.array(value % known)), value // known
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in spelt.dictionary.to_pylist()], np.uint64)
+        self.word_hashes = hashes[value % known]
+
+    def types(self) -> _Types:
+        start = _xx64(np.array([xxhash.xxh64_intdigest(x, 42) for x in self.names], np.uint64), np.uint64(42))
+        return _Types(self.at, np.arange(len(self.text))[:, None], _xx64(self.word_hashes, start[self.lang]), self.count)
+
+    def rows(self, types: _Types) -> pa.RecordBatch:
+        parts = [self.text.take(pa.array(types.words[:, i])) for i in range(types.words.shape[1])]
+        text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+        return _batch(self.names, self.lang[types.words[:, 0]], text, types.count)
 
-def _grow(short: _Types, unit: _Types, places: np.ndarray, size: int) -> _Types:
-    """Phrases of ``size`` words that begin at ``places``: the shorter one there and the word behind it."""
-    key = short.at[places] * (len(unit.text) + 1) + unit.at[places + size - 1]
-    value, first, at, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    head, tail = short.at[places][first], unit.at[places + size - 1][first]
-    text = pc.binary_join_element_wise(short.text.take(pa.array(head)), unit.text.take(pa.array(tail)), pa.scalar(b" ", pa.large_binary()))
-    whole = np.full(len(short.at), -1)
-    whole[places] = at
-    return _Types(whole, text, short.lang[head], count)
+
+def _batch(names: list[bytes], lang: np.ndarray, text: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(lang)).cast(pa.string()), text.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
 
 COUNTED = "lang string, phrase string, n long"
@@ -106,26 +155,20 @@ def _counting(size: int, maps: dict):
     inside are in ``2`` and the shorter phrase at the start is in ``open`` or the one behind it in ``held``, or ``asked`` has the phrase.
     """
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        languages = batch.column("lang").dictionary_encode()
-        names = [x.encode() for x in languages.dictionary.to_pylist()]
-        found, home, piece = words(batch.column("text"))
-        spelt = found.dictionary_encode()
-        lang = languages.indices.to_numpy()[home].astype(np.int64)
-        key = lang * (len(spelt.dictionary) + 1) + spelt.indices.to_numpy()
-        value, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        unit = _Types(at, spelt.dictionary.take(pa.array(value % (len(spelt.dictionary) + 1))), value // (len(spelt.dictionary) + 1), n)
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        unit = _Units(batch)
+        ones, piece = unit.types(), unit.piece
         if size == 1:
-            total = np.bincount(lang, minlength=len(names))
-            text, tongue, n = unit.text.cast(pa.binary()).to_pylist() + [b""] * len(names), np.concatenate([unit.lang, np.arange(len(names))]), np.concatenate([unit.count, total])
-            return row(names, pa.array(text, pa.binary()), tongue, n)
-        unit = unit.cut(unit.member(maps, "w", names))
-        good = unit.at >= 0
-        places = np.flatnonzero(good[:-1] & good[1:] & (piece[:-1] == piece[1:]))
-        pairs = _grow(unit, unit, places, 2)
+            yield unit.rows(ones)
+            yield _batch(unit.names, np.arange(len(unit.names)), pa.array([b""] * len(unit.names), pa.large_binary()), unit.totals)
+            return
+        ones = ones.cut(ones.member(maps, "w"))
+        good = ones.at >= 0
+        pairs = ones.grow(np.flatnonzero(good[:-1] & good[1:] & (piece[:-1] == piece[1:])), unit, 2)
         if size == 2:
-            return row(names, pairs.text, pairs.lang, pairs.count)
-        pairs = pairs.cut(pairs.member(maps, "2", names))
+            yield unit.rows(pairs)
+            return
+        pairs = pairs.cut(pairs.member(maps, "2"))
         now = pairs
         for k in range(3, size + 1):
             # all phrases of k words where the k - 1 pairs inside are frequent
@@ -133,29 +176,23 @@ def _counting(size: int, maps: dict):
             for j in range(k - 1):
                 fits &= pairs.at[j : j + len(fits)] >= 0
             if k == size and "asked" not in maps:
-                wide = [now.member(maps, name, names) for name in ("open", "held")]
-                opened, held = (np.concatenate([w, [False]])[now.at] for w in wide)
+                opened, held = (np.append(now.member(maps, name), False)[now.at] for name in ("open", "held"))
                 fits &= opened[: len(fits)] | held[1 : len(fits) + 1]
-            now = _grow(now, unit, np.flatnonzero(fits), k)
-        if "asked" in maps:
-            now = now.cut(now.member(maps, "asked", names))
-        return row(names, now.text, now.lang, now.count)
-
-    def row(names: list[bytes], text: pa.Array, lang: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(lang)).cast(pa.string()), text.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
+            now = now.grow(np.flatnonzero(fits), unit, k)
+        yield unit.rows(now.cut(now.member(maps, "asked")) if "asked" in maps else now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK):
-                yield count(part)
+                yield from count(part)
 
     return run
 
 
 def bitmap(phrases: DataFrame):
     """A bitmap of the (lang, phrase) rows, broadcast. Its size does not depend on them: at most BITS / 64 rows reach the driver."""
-    spot = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(BITS - 1))
-    cells = phrases.select(F.shiftright(spot, 6).alias("cell"), F.expr("shiftleft(1L, cast(xxhash64(lang, phrase) & 63 as int))").alias("bit"))
+    spot = phrases.select(phrase_hash().bitwiseAND(F.lit(BITS - 1)).alias("spot"))
+    cells = spot.select(F.shiftright("spot", 6).alias("cell"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit"))
     table = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
     out[table.column("cell").to_numpy()] = table.column("bits").to_numpy()
