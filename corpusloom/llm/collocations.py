@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import filled, persist_to_shared, slices, utf8_buffer
 
 #: Bits of a bitmap (8 MB), text read together, and the scale of scores.
-BITS, BLOCK, SCALE = 1 << 26, 3 << 20, 2_000_000
+BITS, BLOCK, SCALE = 1 << 26, 2 << 20, 2_000_000
 
 # Fixed values of the public XXH64 algorithm.
 _P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
@@ -51,15 +51,11 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     data = _FOLD[data]
     cut = _BREAK[data]
     letter = ~(cut | _BLANK[data])
-    edge = np.ones(n + 1, bool)
-    edge[1:] = ~np.concatenate([letter, [False]])[:-1] if n else True
-    edge[offsets] = True
-    starts = np.flatnonzero(letter & edge[:n])
-    ends = np.concatenate([~letter, [True]])
-    ends[offsets] = True
-    marks = np.flatnonzero(ends)
-    stops = marks[np.searchsorted(marks, starts, "right")]
-    home = np.searchsorted(offsets, starts, "right") - 1
+    inner = np.zeros(n + 1, bool)  # no word starts or ends between these two letters
+    inner[1:-1] = letter[:-1] & letter[1:]
+    inner[offsets] = False
+    starts, stops = np.flatnonzero(letter & ~inner[:-1]), np.flatnonzero(letter & ~inner[1:]) + 1
+    home = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets)))
     piece = np.cumsum(cut, dtype=np.int32)[starts].astype(np.int64) + home
     bounds = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[letter])])
@@ -128,10 +124,10 @@ class _Units:
         value, self.at, self.count = _numbered(tongue * known + spelt.indices.to_numpy())
         self.totals = np.bincount(tongue, minlength=len(self.names))
         self.text, self.lang = spelt.dictionary.take(pa.array(value % known)), value // known
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in spelt.dictionary.to_pylist()], np.uint64)
-        self.word_hashes = hashes[value % known]
+        self.spelt, self.word = spelt.dictionary, value % known
 
     def types(self) -> _Types:
+        self.word_hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in self.spelt.to_pylist()], np.uint64)[self.word]
         start = _xx64(np.array([xxhash.xxh64_intdigest(x, 42) for x in self.names], np.uint64), np.uint64(42))
         return _Types(self.at, np.arange(len(self.text))[:, None], _xx64(self.word_hashes, start[self.lang]), self.count)
 
@@ -157,11 +153,11 @@ def _counting(size: int, maps: dict):
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         unit = _Units(batch)
-        ones, piece = unit.types(), unit.piece
         if size == 1:
-            yield unit.rows(ones)
+            yield _batch(unit.names, unit.lang, unit.text, unit.count)
             yield _batch(unit.names, np.arange(len(unit.names)), pa.array([b""] * len(unit.names), pa.large_binary()), unit.totals)
             return
+        ones, piece = unit.types(), unit.piece
         ones = ones.cut(ones.member(maps, "w"))
         good = ones.at >= 0
         pairs = ones.grow(np.flatnonzero(good[:-1] & good[1:] & (piece[:-1] == piece[1:])), unit, 2)
@@ -272,8 +268,10 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int
             grown = counted(size, {**maps, "open": bitmap(opened), "held": bitmap(held)}, f"phrases-{size}")
             cover[size] = known[size] = grown
             if size == 4:
-                # scores of four words need the count of their last three, which may not have been opened
-                tails = grown.join(opened.select("lang", F.col("phrase").alias("head")), [grown["lang"] == opened["lang"], _head(3) == F.col("head")], "left_semi")
+                # the first cut of four words needs the count of the last three, which may not have been opened
+                heads = opened.select("lang", F.col("phrase").alias("head"), F.col("a").alias("of_head"), "edge")
+                tails = part(grown.withColumn("head", _head(3)).join(heads, ["lang", "head"]), 1, _tail(1), "last")
+                tails = tails.where(_ratio(F.col("n"), F.col("of_head") + F.col("last")) >= F.col("edge"))  # else another cut is below the threshold
                 tails = tails.select("lang", _tail(3).alias("phrase")).distinct().join(known[3], ["lang", "phrase"], "left_anti")
                 tails = persist_to_shared(tails, "phrases-tails")
                 if not tails.isEmpty():
