@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """
     from pyspark.sql import Window
 
-    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # rows: one a source
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
     per = persist_to_shared(per.withColumn("weight", weight), "mix-sources")
@@ -111,14 +111,14 @@ def _pivot(seed: int, last: bool):
                 part[held], held = 0.0, -1
         if last and held >= 0:
             up[held], part[held] = _uniform(rows["key"].to_numpy(np.int64)[held : held + 1], seed + 1)[0] < part[held], 0.0
-        rows["part"], rows["copies"] = part, rows["copies"].to_numpy() + up
+        rows["part"], rows["more"] = part, rows["more"].to_numpy() + up
         return rows
 
     return pivot
 
 
 def mix(docs: DataFrame, seed: int = 7, fan: int = FAN, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``doc_id, source, mark, n, size, source_size, target, copies``: how often the mix takes each document.
+    """``doc_id, source, mark, n, size, source_size, target, copies, more``: how often the mix takes each document.
 
     ``size`` is the words of the text (null: 0). A source's documents are all due target / source_size copies, an integer
     and a fraction; the fractions are rounded so that the words taken stay at the source's target, up to one document, and
@@ -126,7 +126,8 @@ def mix(docs: DataFrame, seed: int = 7, fan: int = FAN, weights=WEIGHTS, share:
     their id; each bucket leaves one open fraction at most, and the open ones meet again in buckets of ``fan`` until one is
     left per source. Draws come from the id, so reruns agree.
 
-    ``n`` rows that repeat id, source and text (``mark`` is the text's hash) are one unit and get the same number of copies.
+    ``n`` rows that repeat id, source and text (``mark`` is the text's hash) are one unit: each gets ``copies``, and ``more`` of them get
+    one more. Of the unit's due rows only the fraction of one row is rounded by chance.
     A null source is a source of its own; documents without words get copies and add none. An empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("mark"))
@@ -135,13 +136,13 @@ def mix(docs: DataFrame, seed: int = 7, fan: int = FAN, weights=WEIGHTS, share:
     per = persist_to_shared(targets(units, weights, share, most), "mix-targets")
     key = F.xxhash64("doc_id", "mark")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    buckets = F.ceil(F.col("documents") / fan)
-    to = per.select(F.col("source").alias("own"), "source_size", "target", "documents")
-    start = units.join(to, F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("due", due)
+    buckets = F.ceil(F.col("units") / fan)
+    to = per.select(F.col("source").alias("own"), "source_size", "target", "units")
+    start = units.join(to, F.col("source").eqNullSafe(F.col("own"))).drop("own").withColumn("due", due).withColumn("rows", (F.col("due") - F.floor("due")) * F.col("n"))
     start = start.select(
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),  # pandas would read longs with nulls as doubles
-        "source", "mark", "n", "size", "source_size", "target", key.alias("key"), (F.col("size") * F.col("n")).cast("double").alias("mass"),
-        (F.col("due") - F.floor("due")).alias("part"), F.floor("due").alias("copies"), F.pmod(key, buckets).alias("bucket"), buckets.alias("buckets"),
+        "source", "mark", "n", "size", "source_size", "target", key.alias("key"), F.col("size").cast("double").alias("mass"),
+        (F.col("rows") - F.floor("rows")).alias("part"), F.floor("due").alias("copies"), F.floor("rows").alias("more"), F.pmod(key, buckets).alias("bucket"), buckets.alias("buckets"),
     )
     largest = per.agg(F.max(buckets)).first()[0] or 1
     done, level = None, 0
@@ -156,12 +157,40 @@ def mix(docs: DataFrame, seed: int = 7, fan: int = FAN, weights=WEIGHTS, share:
             break
         start, largest, level = out.where("part > 0"), -(-largest // fan), level + 1
     doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
-    return done.select(doc_id, "source", "mark", "n", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"))
+    return done.select(doc_id, "source", "mark", "n", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), "more")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with all columns of ``docs``, each as often as it is taken."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies"))
+def each_row(mixed: DataFrame, block: int = 4096) -> DataFrame:
+    """One row for each of a unit's ``n`` rows, with its own ``copies``. A unit of many rows is dealt out in blocks."""
+    blocks = mixed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    dealt = blocks.repartition("doc_id", "mark", "start")
+    rows = dealt.withColumn("no", F.explode(F.sequence("start", F.least(F.col("start") + block, F.col("n")) - 1)))
+    return rows.withColumn("copies", F.col("copies") + (F.col("no") < F.col("more")).cast("int")).drop("start", "no", "more", "n")
+
+
+def apply_mix(docs: DataFrame, salts: int = 256, **options) -> DataFrame:
+    """The rows of the mix with all columns of ``docs``, each as often as it is taken.
+
+    Of rows that repeat id, source and text but not all get the same number of copies, those that get one more are told by
+    their number, which is counted within ``salts`` parts first, so a large group is numbered by many tasks.
+    """
+    from pyspark.sql import Window
+
+    names = ["__id", "__source", "__mark"]
+    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies"), F.col("more").alias("__more"), F.col("n").alias("__n"))
+    taken = persist_to_shared(taken, "mix-taken")
     marked = docs.withColumn("__text_mark", F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__text_mark") == F.col("__mark"))
-    return marked.join(taken, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    alike = taken.where("__more in (0, __n)").withColumn("__copies", F.col("__copies") + (F.col("__more") > 0).cast("int")).where("__copies > 0")
+    rows = marked.join(alike, same)
+    mixed = taken.where("__more not in (0, __n)")
+    if not mixed.isEmpty():
+        some = persist_to_shared(marked.join(mixed, same).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))), "mix-repeated")
+        counts = some.groupBy(*names, "__salt").agg(F.count("*").alias("__m"))
+        before = F.sum("__m").over(Window.partitionBy(*names).orderBy("__salt")) - F.col("__m")
+        counts = counts.withColumn("__before", before).select(*[F.col(c).alias(f"{c}_") for c in (*names, "__salt")], "__before")
+        hit = [some[c].eqNullSafe(counts[f"{c}_"]) for c in (*names, "__salt")]
+        place = F.col("__before") + F.row_number().over(Window.partitionBy(*names, "__salt").orderBy(F.lit(0)))
+        more = some.join(counts, hit).withColumn("__copies", F.col("__copies") + (place <= F.col("__more")).cast("int")).where("__copies > 0")
+        rows = rows.select(*docs.columns, "__copies").unionByName(more.select(*docs.columns, "__copies"))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)

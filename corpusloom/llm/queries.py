@@ -93,11 +93,10 @@ def op10_chat_format(spark, sf_dir):
 
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
-    from .mixing import mix
+    from .mixing import each_row, mix
 
-    out = mix(table(spark, sf_dir, "documents"))
-    each = out.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    out = each_row(mix(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 @query("op5_bpe")

@@ -134,12 +134,28 @@ def test_mix(spark):
     for s in order:
         mine = [r for r in out if r.source == s]
         assert abs(mine[0].target - min(2 * size[s], low * weight[s])) < 1e-3 and mine[0].source_size == size[s]
-        taken, largest = sum(r.n * r.size * r.copies for r in mine), max(r.size * r.n for r in mine)
+        taken, largest = sum(r.size * (r.n * r.copies + r.more) for r in mine), max(r.size for r in mine)
         assert abs(taken - mine[0].target) <= largest
-        assert all(0 <= r.copies <= 2 for r in mine)
+        assert all(0 <= r.copies <= 2 and 0 <= r.more <= r.n and r.copies * r.n + r.more <= 2 * r.n for r in mine)
     assert mixing.mix(df.limit(0)).count() == 0
     mixed = mixing.apply_mix(df, fan=16)
-    assert mixed.columns == df.columns and mixed.count() == sum(r.n * r.copies for r in out)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.n * r.copies + r.more for r in out)
+
+
+def test_mix_of_a_thousand_equal_rows(spark):
+    """Rows that repeat id and text are rounded one by one, not all or nothing."""
+    rows = [(5, "b", "one two three four five")] * 1000 + [(k, "a", "w " * (k % 7)) for k in range(10, 300)] + [(k, "c", "w " * 9) for k in range(300, 500)]
+    rows += [(None, None, "x y"), (None, None, "x y"), (None, None, "x y"), (7, None, None)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, source string, text string, no int")
+    out = mixing.each_row(mixing.mix(df), block=64).collect()
+    assert len(out) == len(rows) and all(0 <= r.copies <= 2 for r in out)
+    for source in ("a", "b", "c", None):
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(r.size for r in mine)
+    mixed = mixing.apply_mix(df, salts=8)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
+    per = [r["count"] for r in mixed.where("doc_id = 5").groupBy("no").count().collect()]
+    assert max(per) - min(per) <= 1 and sum(per) == sum(r.copies for r in out if r.doc_id == 5)
 
 
 def test_quality_finds_bad_documents_it_has_not_seen(spark):
