@@ -4,6 +4,10 @@ Both score a (query, document) pair as a sum over shared terms, so they share
 one plan: postings laid out by document, a bounded query side broadcast onto
 them, a sum per (document, query) that needs no further shuffle, and a top-k
 whose group limit runs before rows leave their partition.
+
+:func:`store_index` writes the postings of BM25 once, bucketed by document and
+sorted by token slot. A search over a stored index reads no text, and of the
+postings only the pages whose slots its tokens fall into.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import small_side
+from ..session import persist_to_shared, small_side
 
 
 @dataclass(frozen=True)
@@ -28,6 +32,7 @@ class LexicalIndex:
     stats: DataFrame  # n, avgdl, empty_docs
     tokenize: Callable[[Column], Column]
     carried: tuple[str, ...]
+    blocks: DataFrame | None = None  # slot, token, block, max_tf, min_dl; stored indexes only
 
 
 def lex_index(
@@ -75,6 +80,67 @@ def lex_index(
     return LexicalIndex(docs, terms, vocabulary, stats, (lambda c: tokenize(tx.nfc(c))) if compose else tokenize, tuple(carry))
 
 
+#: Token slots. A batch of any size asks for no more than that many, so their list fits the driver and a filter.
+SLOTS = 1024
+#: Documents of a block, whose largest term frequency and smallest length bound its scores.
+BLOCK_DOCS = 128
+
+
+def slot_of(token: str | Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+
+
+def store_index(index: LexicalIndex, folder: str, buckets: int | None = None) -> LexicalIndex:
+    """Write documents, postings, vocabulary and block bounds under ``folder`` and return an index that reads them.
+
+    Postings are a table bucketed by document, so scores add up without a shuffle, each bucket one file sorted by (slot,
+    token) in small pages: a filter on slots reaches the pages through the column index. Executors must see the folder.
+    """
+    import uuid
+
+    spark, root = index.docs.sparkSession, f"{folder.rstrip('/')}/lexical-{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    def bucketed(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+        table = f"{name}_{uuid.uuid4().hex}"
+        laid = df.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").sortBy(*order)
+        laid.option("path", f"{root}/{name}").option("parquet.page.row.count.limit", 2000).option("parquet.block.size", 32 << 20).saveAsTable(table)
+        return spark.table(table)
+
+    docs = stored(index.docs, "docs")
+    count = F.broadcast(docs.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.lit(1)).alias("blocks")))  # one row
+    numbered = index.terms.crossJoin(count).withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks"))).drop("blocks")
+    terms = bucketed(numbered.withColumn("slot", slot_of("token")), "postings", ["slot", "token"])
+    bounds = terms.groupBy("slot", "token", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    blocks = bounds.repartition(buckets, "block").sortWithinPartitions("slot", "token")
+    return LexicalIndex(docs, terms, stored(index.vocabulary, "vocabulary"), stored(index.stats, "stats"), index.tokenize, index.carried, stored(blocks, "blocks"))
+
+
+def asked_slots(wanted: DataFrame) -> list[int]:
+    """The slots of the tokens, at most ``SLOTS`` numbers."""
+    return sorted(r["slot"] for r in wanted.select(slot_of("token").alias("slot")).distinct().collect())
+
+
+def in_slots(rows: DataFrame, slots: Sequence[int], most: int = 200) -> DataFrame:
+    """Rows in these slots, as ranges that the file reader can test; more than ``most`` ranges are most of the table anyway."""
+    ranges: list[list[int]] = []
+    for s in slots:
+        if ranges and ranges[-1][1] == s - 1:
+            ranges[-1][1] = s
+        else:
+            ranges.append([s, s])
+    if len(ranges) > most:
+        return rows
+    tests = [F.col("slot").between(a, b) if a < b else F.col("slot") == a for a, b in ranges]
+    while len(tests) > 1:  # a balanced tree of conditions
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return rows.filter(tests[0] if tests else F.lit(False))
+
+
 def duplicate_ids(chunks: DataFrame) -> DataFrame:
     """Identifiers an index must refuse."""
     return chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
@@ -136,9 +202,14 @@ def lex_topk(
     filters: Sequence[str] = (),
     ties: Sequence[str] = ("chunk_id",),
     drop_zero: bool = False,
+    skip: bool = False,
 ) -> DataFrame:
     """BM25 top-k for ``(query_id, query[, filter columns])``.
 
+    ``skip`` needs a stored index: the blocks with the best bounds are scored
+    first, and of the others only those whose bound reaches the k-th score
+    found there. The result is the same.
+
     ``where`` and per-query ``filters`` use carried columns and apply after
     scoring: corpus statistics stay global. Queries with fewer than ``k``
     matches are filled with zero scores in tie order. Where no weight is
@@ -156,18 +227,32 @@ def lex_topk(
         .groupBy(*keys, "token")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    probe = queries.select("query_id")
-    weights = idf_table(index, small_side(wanted, probe)).select(
+    probe = asked.select(*keys)
+    weights = idf_table(index, small_side(wanted)).select(
         *keys, "token", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"
     )
-    hits = index.terms.join(small_side(weights, probe), "token")
     match = filter_match("q_", filters)
-    for test in (where, match):
-        hits = hits if test is None else hits.filter(test)
-    tf = F.col("tf")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     tie_keys = ["chunk_id", *[t for t in ties if t != "chunk_id"]]
-    scored = hits.groupBy(*tie_keys, "query_id").agg(F.sum(part).alias("score"))
+    slots = None if index.blocks is None else asked_slots(wanted)
+    rows = index.terms if slots is None else in_slots(index.terms, slots)
+
+    def part(tf: str, dl: str) -> Column:
+        return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
+
+    def score(side: DataFrame, on: Sequence[str]) -> DataFrame:
+        hits = rows.join(side, [*on])
+        for test in (where, match):
+            hits = hits if test is None else hits.filter(test)
+        return hits.groupBy(*tie_keys, "query_id").agg(F.sum(F.col("w") * part("tf", "dl")).alias("score"))
+
+    if skip:
+        if slots is None:
+            raise ValueError("only a stored index has block bounds")
+        most = F.sum(F.greatest(F.col("w"), F.lit(0.0)) * part("max_tf", "min_dl")).alias("bound")
+        bounds = in_slots(index.blocks, slots).join(small_side(weights, wanted), "token").groupBy("query_id", "block").agg(most)
+        scored = score(reaching(persist_to_shared(bounds, "block-bounds"), weights, score, k), ["token", "block"])
+    else:
+        scored = score(small_side(weights, wanted), ["token"])
     if drop_zero:
         return top_k(scored.filter(F.col("score") > 0), k, ties).select("query_id", "chunk_id", "score", "rank")
 
@@ -195,6 +280,21 @@ def lex_topk(
     return top_k(single, k, ties).select("query_id", "chunk_id", "score", "rank")
 
 
+def reaching(bounds: DataFrame, weights: DataFrame, score: Callable[..., DataFrame], k: int) -> DataFrame:
+    """The weights of each query, once for every block that may hold one of its ``k`` best."""
+
+    def sent(blocks: DataFrame) -> DataFrame:
+        return small_side(persist_to_shared(weights.join(blocks.select("query_id", "block"), "query_id"), "block-weights"))
+
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    lead = bounds.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= -(-4 * k // BLOCK_DOCS) + 1)
+    found = top_k(score(sent(lead), ["token", "block"]), k).filter(F.col("rank") == k)
+    # documents without hits score zero, so only a k-th score over zero shuts blocks out
+    limits = found.filter(F.col("score") > 0).select("query_id", (F.col("score") - 1e-9).alias("limit"))
+    open_ = bounds.join(limits, "query_id", "left").filter(F.col("limit").isNull() | (F.col("bound") >= F.col("limit")))
+    return sent(open_)
+
+
 def postings(vectors: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``chunk_id, sparse`` → ``chunk_id, index, value`` laid out by document."""
     return (
@@ -225,7 +325,7 @@ def vec_topk_sparse(
         F.col("p.indices").alias("index"),
         F.col("p.values").cast("double").alias("q_value"),
     )
-    hits = postings(kept, sorted({*carry, *filters})).join(small_side(asked, queries.select("query_id")), "index")
+    hits = postings(kept, sorted({*carry, *filters})).join(small_side(asked), "index")
     match = filter_match("q_", filters)
     hits = hits if match is None else hits.filter(match)
     scored = hits.groupBy("chunk_id", "query_id").agg(F.sum(F.col("q_value") * F.col("value")).alias("score"))
