@@ -66,16 +66,96 @@ def test_blocks_and_tiles_change_nothing(spark, monkeypatch):
     q, c = vec_rows(spark, 90, 6, "query_id", 1), vec_rows(spark, 170, 6, "chunk_id", 2)
     a = vectors.vec_topk_dense(q, c, 7).collect()
     monkeypatch.setattr(vectors, "SCORE_CELLS", 100)
-    b = vectors.vec_topk_dense(q, c, 7, query_cells=120).collect()
+    b = vectors.vec_topk_dense(q, c, 7, query_cells=120, shares=3).collect()
     assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in a) == sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in b)
     assert len(a) == 630
 
 
-def test_ann_recall(spark):
-    q, c = vec_rows(spark, 10, 8, "query_id", 1), vec_rows(spark, 200, 8, "chunk_id", 2)
-    exact = {(r["query_id"], r["chunk_id"]) for r in vectors.vec_topk_dense(q, c, 5).collect()}
-    near = {(r["query_id"], r["chunk_id"]) for r in vectors.vec_topk_ann(q, c, 5).collect()}
-    assert len(exact & near) / len(exact) > 0.8 and len(near) == 50
+def as_rows(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in df.collect())
+
+
+def test_three_by_three_tiles(spark):
+    """Filters, string ids and few queries give the same rows over nine tiles as over one."""
+    q = vec_rows(spark, 30, 5, "query_id", 3).selectExpr("query_id", "vector", "if(query_id % 3 = 0, null, cast(query_id % 2 as string)) as lang")
+    c = vec_rows(spark, 200, 5, "chunk_id", 4).selectExpr("concat('c', chunk_id) as chunk_id", "vector", "cast(chunk_id % 2 as string) as lang")
+    one = vectors.vec_topk_dense(q, c, 4, filters=("lang",), shares=1)
+    nine = vectors.vec_topk_dense(q, c, 4, filters=("lang",), query_cells=50, shares=3)
+    assert as_rows(one) == as_rows(nine) and one.count() == 120
+    assert vectors.vec_topk_dense(q.where("false"), c, 4).count() == vectors.vec_topk_dense(q, c.where("false"), 4).count() == 0
+
+
+def test_inverted_file(spark):
+    """Without a limit the widened search is exact and certain, with one it says which queries are not."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.4).tolist()) for i in range(600)] + [(900, [0.0] * 8)]
+    c = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(i, (centres[i % 12] + rng.normal(size=8) * 0.4).tolist()) for i in range(24)], "query_id long, vector array<double>")
+    index = vectors.ivf_build(c, cells=12)
+    exact = as_rows(vectors.vec_topk_dense(q, c, 5))
+    found, went = vectors.vec_topk_ann(q, index, 5, first=0.01, most=None)
+    assert as_rows(found) == exact and all(r["certain"] for r in went.collect())
+    assert max(r["share"] for r in went.collect()) < 0.5  # clusters: the bound shuts most cells
+    found, went = vectors.vec_topk_ann(q, index, 5, first=0.01, most=0.1)
+    sure = {r["query_id"] for r in went.collect() if r["certain"]}
+    assert [r for r in as_rows(found) if r[0] in sure] == [r for r in exact if r[0] in sure]
+    found, _ = vectors.vec_topk_ann(q, index, 1000, most=None)  # more than there are
+    assert found.count() == 24 * 601
+
+
+def lexical_corpus(spark, n=900):
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(4000)]
+    return spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))), "ab"[i % 2]) for i in range(n)], "chunk_id long, content string, category string")
+
+
+def leaf_rows(df):
+    """Rows that the scan of a plan without shuffles gave."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_stored_index_equals_the_text(spark, tmp_path):
+    chunks = lexical_corpus(spark)
+    index = lexical.lex_index(chunks, tokenize=tx.tok_ws, carry=("category",))
+    stored = lexical.store_index(index, str(tmp_path), buckets=3)
+    asked = spark.createDataFrame([(1, "w1 w2 w3", "a"), (2, "w7 w7 w9 nothing", None), (3, "absent words", None), (4, "w40 w1", "b")], "query_id long, query string, category string")
+    for filters in ((), ("category",)):
+        want = as_rows(lexical.lex_topk(index, asked, 10, filters=filters))
+        assert as_rows(lexical.lex_topk(stored, asked, 10, filters=filters)) == want
+        assert as_rows(lexical.lex_topk(stored, asked, 10, filters=filters, skip=True)) == want
+    where = F.col("category") == "a"
+    want = as_rows(lexical.lex_topk(index, asked, 3, where=where, drop_zero=True))
+    assert as_rows(lexical.lex_topk(stored, asked, 3, where=where, drop_zero=True, skip=True)) == want
+    with pytest.raises(ValueError):
+        lexical.lex_topk(index, asked, 3, skip=True)
+
+
+def test_search_plan_reads_no_text_and_few_postings(spark, tmp_path):
+    stored = lexical.store_index(lexical.lex_index(lexical_corpus(spark, 6000), tokenize=tx.tok_ws), str(tmp_path), buckets=2)
+    asked = spark.createDataFrame([(1, "w1000")], "query_id long, query string")
+    plan = lexical.lex_topk(stored, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    assert "slot" in plan and "PushedFilters" in plan
+    total = stored.terms.count()
+    few = leaf_rows(lexical.in_slots(stored.terms, lexical.asked_slots(spark.createDataFrame([("w1000",)], "token string"))))
+    many = leaf_rows(lexical.in_slots(stored.terms, lexical.asked_slots(spark.createDataFrame([(f"w{i}",) for i in range(1, 60)], "token string"))))
+    assert few < many <= total and few < 0.2 * total
+
+
+def test_blocks_below_the_kth_score_are_skipped(spark, tmp_path):
+    """Only a few blocks hold the rare word often, so the others are shut."""
+    rows = [(i, "common " * (1 + i % 5) + ("rare " * 8 if i % 1000 == 3 else "")) for i in range(6000)]
+    stored = lexical.store_index(lexical.lex_index(spark.createDataFrame(rows, "chunk_id long, content string"), tokenize=tx.tok_ws), str(tmp_path), buckets=2)
+    bounds = stored.blocks.where("token = 'rare'").selectExpr("1L as query_id", "block", "cast(max_tf as double) as bound")
+    bounds = bounds.unionByName(stored.blocks.where("token = 'common'").join(bounds.select("block"), "block", "left_anti").selectExpr("1L as query_id", "block", "0.5D as bound"))
+    weights = spark.createDataFrame([(1, "rare", 1.0)], "query_id long, token string, w double")
+    score = lambda side, on: stored.terms.join(side, on).groupBy("chunk_id", "query_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+    kept = lexical.reaching(bounds, weights, score, 2).select("block").distinct().count()
+    assert 0 < kept <= 6 < bounds.count()
 
 
 def ranked(spark, rows):
