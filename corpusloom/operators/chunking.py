@@ -7,6 +7,7 @@ fold carries counts; text is attached afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +77,37 @@ def embedding_prefix(lead_in: Column) -> Column:
     )
 
 
+#: Members that a packing fold numbers together.
+FOLD_CHUNK = 256
+
+
+def group_numbers(members: str, state: dict[str, str], step: Callable[[str, str], dict[str, str]]) -> str:
+    """SQL for an array of group numbers, one a member, from a greedy fold in time linear in the members.
+
+    ``state`` holds the start of each field, with ``g`` the group's number; ``step(state, member)`` gives the new fields.
+    An append copies its array, so numbers are collected in chunks and the chunks in an outer array.
+    """
+
+    def fields(values: dict[str, str]) -> str:
+        return ", ".join(f"'{k}', {v}" for k, v in values.items())
+
+    fresh = "cast(array() as array<int>)"
+    new = step("s", "a")
+    inner = (
+        f"aggregate(chunk, named_struct('out', {fresh}, {fields({k: f'o.{k}' for k in state})}), "
+        f"(s, a) -> named_struct('out', array_append(s.out, {new['g']}), {fields(new)}), "
+        f"r -> named_struct('all', array_append(o.all, r.out), {fields({k: f'r.{k}' for k in state})}))"
+    )
+    chunks = f"transform(sequence(0, (size({members}) - 1) div {FOLD_CHUNK}), i -> slice({members}, cast(i as int) * {FOLD_CHUNK} + 1, {FOLD_CHUNK}))"
+    outer = f"aggregate({chunks}, named_struct('all', cast(array() as array<array<int>>), {fields(state)}), (o, chunk) -> {inner}, o -> flatten(o.all))"
+    return f"if(size({members}) = 0, {fresh}, {outer})"
+
+
+def bound(expression: str, name: str, body: str) -> str:
+    """SQL that evaluates ``expression`` once and uses it in ``body`` under ``name``."""
+    return f"element_at(transform(array({expression}), {name} -> {body}), 1)"
+
+
 def split_to_limit(content: str, prefix_tokens: str, limit: int) -> Column:
     """``struct(parts, forced)``: text cut by sentences, then clauses, then words."""
     ws = f"[{tx.WS}]+"
@@ -89,7 +121,7 @@ def split_to_limit(content: str, prefix_tokens: str, limit: int) -> Column:
         return f"filter(transform(split({content}, '{sql(pattern)}', -1), x -> {trimmed}), x -> x <> '')"
 
     budget = f"greatest(8, {limit} - {prefix_tokens} - 3)"
-    pieces = f"if(size({cut(sentence)}) = 1, {cut(clause)}, {cut(sentence)})"
+    pieces = bound(cut(sentence), "whole", f"if(size(whole) = 1, {cut(clause)}, whole)")
     # A sentence over budget becomes hard pieces that stand alone.
     words = f"filter(split(s.t, '{sql(ws)}'), w -> w <> '')"
     hard = (
@@ -101,7 +133,7 @@ def split_to_limit(content: str, prefix_tokens: str, limit: int) -> Column:
     )
     sized = f"transform({pieces}, x -> named_struct('t', x, 'n', {_count('x')}))"
     units = (
-        f"flatten(transform({sized}, s -> if(s.n > {budget}, {hard}, array(named_struct('t', s.t, 'n', s.n, 'hard', false)))))"
+        f"flatten(transform(sized, s -> if(s.n > {budget}, {hard}, array(named_struct('t', s.t, 'n', s.n, 'hard', false)))))"
     )
     packed = (
         f"aggregate({units}, named_struct('done', cast(array() as array<string>), 'cur', '', 'n', 0), (a, u) -> "
@@ -110,12 +142,9 @@ def split_to_limit(content: str, prefix_tokens: str, limit: int) -> Column:
         f"else named_struct('done', a.done, 'cur', if(a.cur = '', u.t, concat(a.cur, ' ', u.t)), 'n', a.n + u.n) end, "
         f"a -> if(a.cur = '', a.done, array_append(a.done, a.cur)))"
     )
-    forced = f"exists({sized}, s -> s.n > {budget})"
+    cut_up = bound(sized, "sized", f"named_struct('parts', {packed}, 'forced', exists(sized, s -> s.n > {budget}))")
     fits = f"{prefix_tokens} + 2 + {_count(content)} <= {limit}"
-    return F.expr(
-        f"case when {fits} then named_struct('parts', array({content}), 'forced', false) "
-        f"else named_struct('parts', {packed}, 'forced', {forced}) end"
-    )
+    return F.expr(f"case when {fits} then named_struct('parts', array({content}), 'forced', false) else {cut_up} end")
 
 
 def table_groups(limit: int) -> Column:
@@ -285,12 +314,17 @@ def pack_siblings(units: DataFrame, limits: ChunkLimits = ChunkLimits()) -> Data
     members = F.struct("atom_no", *[c for c in units.columns if c not in ("document_id", "atom_no", "document_title")])
     lists = runs.groupBy("document_id", "document_title", "run").agg(F.array_sort(F.collect_list(members)).alias("atoms"))
     sizes = "transform(atoms, a -> named_struct('t', a.token_count, 'c', a.content_tokens, 'p', a.pack_tokens))"
-    fold = (
-        f"aggregate({sizes}, named_struct('out', cast(array() as array<int>), 'g', 0, 't', 0, 'c', 0, 'p', 0), (s, a) -> "
-        f"if(s.g = 0 or s.t >= {limits.pack_until} or s.p + 2 + s.c + a.c > {limits.child_max}, "
-        f"named_struct('out', array_append(s.out, s.g + 1), 'g', s.g + 1, 't', a.t, 'c', a.c, 'p', a.p), "
-        f"named_struct('out', array_append(s.out, s.g), 'g', s.g, 't', s.t + a.t, 'c', s.c + a.c, 'p', s.p)), s -> s.out)"
-    )
+
+    def step(s: str, m: str) -> dict[str, str]:
+        new = f"({s}.g = 0 or {s}.t >= {limits.pack_until} or {s}.p + 2 + {s}.c + {m}.c > {limits.child_max})"
+        return {
+            "g": f"if({new}, {s}.g + 1, {s}.g)",
+            "t": f"if({new}, {m}.t, {s}.t + {m}.t)",
+            "c": f"if({new}, {m}.c, {s}.c + {m}.c)",
+            "p": f"if({new}, {m}.p, {s}.p)",
+        }
+
+    fold = bound(sizes, "sizes", group_numbers("sizes", {"g": "0", "t": "0", "c": "0", "p": "0"}, step))
     grouped = lists.select(
         "document_id", "document_title", "run", F.explode(F.arrays_zip("atoms", F.expr(fold).alias("grp"))).alias("z")
     )
@@ -353,12 +387,12 @@ def parent_segments(drafts: DataFrame, limits: ChunkLimits = ChunkLimits()) -> D
     lists = runs.groupBy("document_id", "island").agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "content_tokens"))).alias("members")
     )
-    fold = (
-        "aggregate(members, named_struct('out', cast(array() as array<int>), 'g', 1, 't', 0), (s, m) -> "
-        f"if(s.t > 0 and s.t + m.content_tokens > {limits.parent_preferred}, "
-        "named_struct('out', array_append(s.out, s.g + 1), 'g', s.g + 1, 't', m.content_tokens), "
-        "named_struct('out', array_append(s.out, s.g), 'g', s.g, 't', s.t + m.content_tokens)), s -> s.out)"
-    )
+
+    def step(s: str, m: str) -> dict[str, str]:
+        new = f"({s}.t > 0 and {s}.t + {m}.content_tokens > {limits.parent_preferred})"
+        return {"g": f"if({new}, {s}.g + 1, {s}.g)", "t": f"if({new}, {m}.content_tokens, {s}.t + {m}.content_tokens)"}
+
+    fold = group_numbers("members", {"g": "1", "t": "0"}, step)
     placed = lists.select(
         "document_id", "island", F.explode(F.arrays_zip("members.chunk_no", F.expr(fold).alias("part"))).alias("z")
     ).select("document_id", "island", F.col("z.chunk_no").alias("chunk_no"), F.col("z.part").alias("part"))
