@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import ids
 from corpusloom.operators import points, quality, vectors
 from corpusloom.session import shared_folder
+from corpusloom.plans import embedding
 from corpusloom.sources import readers, writers
 
 from .bindings import documents, sql_strip
@@ -177,7 +178,7 @@ def publish_version(spark, sf):
         writers.publish_version(e.union(e), root, "v2", "current_vectors", [lambda t: t.groupBy("vec_id").count().filter("count > 1")])
     except writers.PublishError:
         pass
-    return spark.table("current_vectors").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return writers.read_current(spark.newSession(), root).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -213,14 +214,18 @@ def embed_batch(spark, sf):
 
 @query(
     "embed_incremental",
-    """SELECT doc_id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' ELSE 'stale' END AS reason FROM documents WHERE doc_id % 4 = 0 OR doc_id % 4 = 1""",
+    f"""WITH {VECTORS_SQL}, d AS (SELECT id, sum(v) AS dense_sum FROM dv_unit GROUP BY id)
+    SELECT doc_id AS chunk_id, sha256(text) AS embedding_input_sha256, CASE WHEN doc_id % 4 < 2 THEN 'second' ELSE 'first' END AS run, dense_sum FROM documents JOIN d ON d.id = doc_id""",
 )
 def embed_incremental(spark, sf):
-    d = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), ids.sha256(F.col("text")).alias("embedding_input_sha256"), F.lit("r1").alias("model_revision"))
-    was = F.when(F.col("chunk_id") % 4 == 1, "old").otherwise(F.col("embedding_input_sha256"))
-    stored = d.filter(F.col("chunk_id") % 4 != 0).withColumn("embedding_input_sha256", was)
-    stale = points.embed_stale(d, stored).select("chunk_id", F.lit("stale").alias("was"))
-    return points.embed_todo(d, stored).join(stale, "chunk_id", "left").select("chunk_id", F.coalesce("was", F.lit("missing")).alias("reason"))
+    """A second run encodes what the first one lacked or had from another text, and returns the whole table."""
+    root = f"{fresh(spark, 'resumed')}/vectors"
+    d = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text")
+    was = d.filter(F.col("chunk_id") % 4 != 0).withColumn("text", F.when(F.col("chunk_id") % 4 == 1, F.concat("text", F.lit(" old"))).otherwise(F.col("text")))
+    embedding.embed_corpus(was, root, "text", shards=16, run="first")
+    out = embedding.embed_corpus(d, root, "text", shards=16, run="second", redo_stale=True)
+    total = F.aggregate("dense", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return out.select("chunk_id", "embedding_input_sha256", "run", total.alias("dense_sum"))
 
 
 @query(

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.plans import embedding
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import ingest
 
@@ -98,4 +99,50 @@ def test_forced_version_replaces_the_old_one(spark, tmp_path):
     writers.publish_version(spark.range(3), str(tmp_path), "1", "forced")
     writers.publish_version(spark.range(5), str(tmp_path), "1", "forced", force=True)
     assert spark.table("forced").count() == 5
-    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("_")] == []
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("_")] == ["_current"]
+
+
+def test_the_pointer_is_seen_by_other_sessions_and_has_one_winner(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(writers.PublishError):
+        writers.read_current(spark, root)
+    writers.publish_version(spark.range(3), root, "1", "mine")
+    other = spark.newSession()
+    assert writers.read_current(other, root).count() == 3
+    with pytest.raises(writers.PublishError):
+        writers.publish_version(spark.range(9), root, "2", "mine", [lambda t: t.filter("id > 3")])
+    assert writers.current_version(other, root) == (1, "1")
+
+    def overtaken(table):  # while this build is checked, another session publishes
+        writers.publish_version(other.range(5), root, "other", "theirs")
+        return table.filter("false")
+
+    with pytest.raises(writers.PublishError, match="meanwhile"):
+        writers.publish_version(spark.range(7), root, "3", "mine", [overtaken])
+    assert writers.current_version(spark, root) == (2, "other") and writers.read_current(spark, root).count() == 5
+
+
+def test_embedding_run_resumes_with_the_missing_shards(spark, tmp_path):
+    root = str(tmp_path / "v")
+    chunks = spark.createDataFrame([(f"c{i}", f"text number {i}") for i in range(80)], "chunk_id string, embedding_text string")
+    part = embedding.embed_corpus(chunks, root, shards=8, wave=2, stop_after=2, run="killed")
+    shards = {r["shard"] for r in part.select("shard").distinct().collect()}
+    assert len(shards) == 4
+    whole = embedding.embed_corpus(chunks, root, shards=8, wave=2, run="resumed")
+    got = {r["chunk_id"]: (r["run"], r["shard"]) for r in whole.collect()}
+    assert len(got) == 80 and all((run == "killed") == (shard in shards) for run, shard in got.values())
+    again = embedding.embed_corpus(chunks, root, shards=8, run="again")
+    assert {r["run"] for r in again.select("run").distinct().collect()} == {"killed", "resumed"}
+
+
+def test_stale_shards_are_refused_or_redone(spark, tmp_path):
+    root = str(tmp_path / "v")
+    chunks = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "chunk_id long, embedding_text string")
+    embedding.embed_corpus(chunks, root, shards=4, run="1")
+    changed = chunks.filter("chunk_id <> 7").withColumn("embedding_text", F.when(F.col("chunk_id") == 3, "new").otherwise(F.col("embedding_text")))
+    with pytest.raises(embedding.StaleShards):
+        embedding.embed_corpus(changed, root, shards=4, run="2")
+    got = {r["chunk_id"]: r["run"] for r in embedding.embed_corpus(changed, root, shards=4, run="2", redo_stale=True).collect()}
+    assert got == {i: "2" if i == 3 else "1" for i in range(40) if i != 7}
+    with pytest.raises(embedding.StaleShards):  # another revision makes every shard stale
+        embedding.embed_corpus(changed, root, revision="2", shards=4)
