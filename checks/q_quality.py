@@ -167,7 +167,7 @@ def dedup_documents(spark, sf):
         F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("source_relative_path"),
         ids.sha256(tx.canonical(F.col("text"))).alias("content_hash"),
     )
-    out = corpus.duplicate_documents(rows)
+    out = corpus.duplicate_documents(staged(spark, sf, "document-hashes", lambda: rows))  # hashed once, read by both sides of the join
     return out.select(
         F.col("document_id").alias("doc_id"),
         F.col("is_canonical_document").alias("is_canonical"),

@@ -136,7 +136,7 @@ def hybrid_run(spark, sf):
     """One retrieval batch; its ranked lists are staged for the queries that read them."""
     asked, pts, chunks = encoded_questions(spark, sf), points(spark, sf), chunk_table(spark, sf)
     ranked = staged(spark, sf, "ranked", lambda: hybrid.sources(asked, bm25_index(spark, sf), pts, 30))
-    return hybrid.complete(ranked, asked, chunks)
+    return hybrid.complete(ranked, asked, chunks, stage=lambda df, name: staged(spark, sf, name, lambda: df))
 
 
 # ------------------------------------------------------------------ queries

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -100,16 +100,21 @@ def complete(
     chunks: DataFrame,
     settings: HybridSettings = HybridSettings(),
     scorer: str | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> Retrieval:
-    """Fuse, hydrate, rerank and cut source-tagged lists."""
-    fused = fusion.fuse_rrf_weighted(ranked, settings.weights, settings.rrf_k, top=None)
+    """Fuse, hydrate, rerank and cut source-tagged lists.
+
+    ``stage(df, name)`` may write the fused and the reranked lists, where
+    several readers would run fusion and the scorer again.
+    """
+    fused = stage(fusion.fuse_rrf_weighted(ranked, settings.weights, settings.rrf_k, top=None), "fused")
     short = fused.filter(F.col("rrf_rank") <= settings.rerank_top).join(
         small_side(queries.select("query_id", "query"), queries.select("query_id")),
         "query_id",
     )
     full = rerank.hydrate(short, chunks)
     pairs = full.withColumn("text", rerank.rerank_text(full))
-    reranked = rerank.rerank(pairs, scorer=scorer)
+    reranked = stage(rerank.rerank(pairs, scorer=scorer), "reranked")
     final = reranked.filter(F.col("reranker_rank") <= settings.final_top).withColumn(
         "final_rank", F.col("reranker_rank")
     )
