@@ -117,7 +117,10 @@ def store_index(index: LexicalIndex, folder: str, buckets: int | None = None) ->
     terms = bucketed(numbered.withColumn("slot", slot_of("token")), "postings", ["slot", "token"])
     bounds = terms.groupBy("slot", "token", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     blocks = bounds.repartition(buckets, "block").sortWithinPartitions("slot", "token")
-    return LexicalIndex(docs, terms, stored(index.vocabulary, "vocabulary"), stored(index.stats, "stats"), index.tokenize, index.carried, stored(blocks, "blocks"))
+    # counted on what is stored, so that texts are cut up for documents and postings only
+    vocabulary = stored(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"), F.count_if(F.col("dl") == 0).alias("empty_docs")).filter("n > 0")
+    return LexicalIndex(docs, terms, vocabulary, stored(stats, "stats"), index.tokenize, index.carried, stored(blocks, "blocks"))
 
 
 def asked_slots(wanted: DataFrame) -> list[int]:
