@@ -8,8 +8,9 @@ Two sets of sizes a and b reach the threshold if they share T = ceil(0.9 / 1.9 (
 2. Shingles are ordered by length and hash, long inverted lists last. A class indexes the prefix of its order that any partner must
    meet, so the short lists are merged and long ones never propose a pair. A class whose prefix does not fill up with short
    lists (its shingles are nearly all long) also uses its long ones, dealt to blocks of bounded size.
-3. Within a list, size, position and a 64-cell histogram, whose distance bounds the symmetric difference from below, leave
-   out pairs that can't reach T. All three are exact bounds.
+3. Within a list, size, position and parity bitmaps, whose Hamming distance bounds the symmetric difference from below, leave
+   out pairs that can't reach T. All three are exact bounds. Bitmaps grow with the set, so they stay sharp near the threshold.
+   A pair whose members come to a list from the same list before it was looked at there and is not proposed again.
 4. Every list first proposes its members to its centre, the largest class. Verified links give components, and the other
    pairs are proposed only between different components, so a large group of near copies costs its size, not its square.
 5. Verification follows DivideSkip: for a query, the short lists of its candidates are counted (no heap merge), and candidates that
@@ -31,8 +32,10 @@ from .common import filled, persist_to_shared, slices, utf8_buffer, whole_runs
 
 #: Members up to which an inverted list is short.
 SHORT = 400
-#: Pairs looked at together, and cells of the histogram.
-PAIRS, CELLS = 200_000, 64
+#: Pairs looked at together.
+PAIRS = 200_000
+#: Bits of the parity bitmaps. The first fits sets of up to as many shingles, each further one four times as many.
+BITS = (512, 1024, 2048)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -102,6 +105,27 @@ def overlap_needed(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Bit c tells whether an odd number of shingles hash to c: two bitmaps differ in at most as many bits as the sets in shingles."""
+    bits = next((b for k, b in enumerate(BITS) if len(s) <= BITS[0] << 2 * k), BITS[-1])
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmaps: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The level of each bitmap, and all bitmaps at each level: larger ones folded, zeros where one is too small."""
+    level = np.array([BITS.index(len(b) * 8) for b in bitmaps], np.int64)
+    out = [np.zeros((len(bitmaps), bits // 64), np.uint64) for bits in BITS]
+    for k in range(len(BITS)):
+        rows = np.flatnonzero(level == k)
+        whole = np.frombuffer(b"".join(bitmaps[r] for r in rows), np.uint64).reshape(len(rows), BITS[k] // 64)
+        for at in range(k, -1, -1):
+            out[at][rows] = whole
+            half = whole.shape[1] // 2
+            whole = whole[:, :half] ^ whole[:, half:]
+    return level, out
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64).tolist())
 
@@ -127,7 +151,7 @@ INDEXED = MEMBERS + ", tokens array<long>, sketch binary"
 
 
 def _indexed(size: int, percent: int):
-    """Members with the tokens a class may index and its histogram."""
+    """Members with the tokens a class may index and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -138,7 +162,7 @@ def _indexed(size: int, percent: int):
             for s in sets:
                 p = len(s) - needed(len(s), percent) + 1
                 tokens.append(s[: p + p // 8 + 6].view(np.int64))
-                sketches.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                sketches.append(parities(s))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)),
                  pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
@@ -156,13 +180,14 @@ def _propose(percent: int, centres: bool):
     every other member x of a pair; else all pairs of different labels."""
 
     def chunk(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label")}
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, CELLS)
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "led", "before")}
         change = np.zeros(len(table), np.int64)
         change[1:] = (col["token"][1:] != col["token"][:-1]) | (col["low"][1:] != col["low"][:-1]) | (col["high"][1:] != col["high"][:-1])
         run = np.cumsum(change)
         order = np.lexsort((col["cid"], col["n"], run))
-        col, sketch, run = {k: v[order] for k, v in col.items()}, sketch[order], run[order]
+        col, run = {k: v[order] for k, v in col.items()}, run[order]
+        bitmaps = table.column("sketch").to_pylist()
+        level, maps = folded([bitmaps[k] for k in order.tolist()])
         n, cid = col["n"].astype(np.int64), col["cid"]
         key = run << 32 | n
         stop = np.searchsorted(key, run << 32 | n * 100 // percent, "right")
@@ -188,16 +213,22 @@ def _propose(percent: int, centres: bool):
             need = overlap_needed(n[i], n[j], percent)
             at_i, at_j = np.where(chosen, col["place"][i], col["rank"][i]), np.where(chosen, col["place"][j], col["rank"][j])
             fit &= np.minimum(n[i] - at_i, n[j] - at_j) >= need
-            i, j, need = i[fit], j[fit], need[fit]
-            apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(1, dtype=np.int64)
+            i, j, need, chosen = i[fit], j[fit], need[fit], chosen[fit]
+            apart, least = np.zeros(len(i), np.int64), np.minimum(level[i], level[j])
+            for k, bits in enumerate(maps):
+                these = np.flatnonzero(least == k)
+                apart[these] = np.bitwise_count(bits[i[these]] ^ bits[j[these]]).sum(1, dtype=np.int64)
             fit = apart <= n[i] + n[j] - 2 * need
-            i, j = i[fit], j[fit]
+            i, j, chosen = i[fit], j[fit], chosen[fit]
             if centres:
                 able = np.unique(np.concatenate([i, j]))
                 fit = (i == centre[i]) | (j == centre[i])
                 i, j = i[fit], j[fit]
                 alone = cid[np.setdiff1d(able, np.concatenate([i, j]))]
                 found.append(np.stack([alone, alone], 1))
+            else:  # both come from one list before this, where they were looked at with the same bounds
+                fit = ~(chosen & col["led"][i] & col["led"][j] & (col["before"][i] == col["before"][j]))
+                i, j = i[fit], j[fit]
             x, y = cid[i], cid[j]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -305,7 +336,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = persist_to_shared(classes, "join-classes")  # written, so the numbers stay
     p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
 
-    postings = classes.select("cid", "n", F.posexplode_outer("tokens").alias("rank", "token"))
+    postings = classes.select("cid", "n", F.posexplode_outer("tokens").alias("rank", "token"), "tokens")
+    postings = postings.withColumn("before", F.when(F.col("rank") > 0, F.element_at("tokens", F.greatest("rank", F.lit(1))))).drop("tokens")
     df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = persist_to_shared(postings.join(df, "token").withColumn("long", F.col("df") > short), "join-postings")
     long_ranks = shared.where("long").groupBy("cid").agg(F.array_sort(F.collect_list("rank")).alias("long_ranks"))  # a class's own, few
@@ -318,7 +350,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("over", spare - F.size("long_ranks") < p).withColumn("hp", F.col("rank") < p)
         rows = rows.withColumn("place", F.col("rank") - F.size(F.filter("long_ranks", lambda r: r < F.col("rank"))))
         rows = rows.withColumn("sel", ~F.col("long") & ~F.col("over") & (F.col("place") < p)).where("(sel or hp) and (not long or hp)")
-        return rows.drop("long_ranks")
+        rows = rows.withColumn("led", (F.col("rank") > 0) & ~F.array_contains("long_ranks", F.col("rank") - 1))
+        return rows.withColumn("before", F.coalesce("before", F.lit(0))).drop("long_ranks")
 
     hard = located(shared.where("long").join(facts.select("cid", "long_ranks"), "cid")).where("over").select("token").distinct()
     hard = persist_to_shared(hard, "join-hard")
@@ -330,7 +363,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        rows = rows.select("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "sketch")
+        rows = rows.select("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "led", "before", "sketch")
         rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return persist_to_shared(rows.mapInArrow(_propose(percent, extra is None), PROPOSED).distinct(), name)
 

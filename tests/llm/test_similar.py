@@ -74,6 +74,33 @@ def test_jaccard_components(spark):
     assert jaccard_join.near_components(frame(spark, [])).count() == 0
 
 
+def test_jaccard_components_of_texts_with_bitmaps_of_all_levels(spark):
+    """Crowds of copies near the threshold, most of which do not link, with 120, 900 and 4,000 words."""
+    draw = random.Random(17)
+    rows = []
+    for crowd, length in enumerate((120, 120, 900, 4000)):
+        base = [f"c{crowd}x{draw.randrange(10**4)}" for _ in range(length)]
+        for k in range(60 if length == 120 else 14):
+            w = base[:]
+            for _ in range(draw.randint(1, max(2, length // 55))):
+                w[draw.randrange(length)] = f"e{draw.randrange(10**6)}"
+            rows.append((crowd * 1000 + k, " ".join(w[: draw.randint(length - length // 30, length)])))
+    for options in ({}, {"short": 5}, {"size": 5, "percent": 80}):
+        got = jaccard_join.near_components(frame(spark, rows), **options).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == brute_components(rows, **{k: v for k, v in options.items() if k != "short"})
+
+
+def test_bitmaps_bound_the_difference_of_sets():
+    draw = np.random.default_rng(4)
+    for a, b in ((0, 3), (100, 120), (500, 520), (2040, 2060), (2000, 9000), (9000, 8800)):
+        common = draw.integers(0, 2**62, min(a, b) // 2)
+        x, y = (np.unique(np.concatenate([common, draw.integers(0, 2**62, n - len(common))])).astype(np.uint64) for n in (a, b))
+        level, maps = jaccard_join.folded([jaccard_join.parities(x), jaccard_join.parities(y)])
+        at = int(level.min())
+        assert np.bitwise_count(maps[at][0] ^ maps[at][1]).sum() <= len(np.setxor1d(x, y))
+        assert maps[at].shape == (2, jaccard_join.BITS[at] // 64)
+
+
 def test_keep_one_of_each_component(spark):
     rows = near_rows(5)
     df = frame(spark, rows)
