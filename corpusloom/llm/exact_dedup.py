@@ -57,11 +57,17 @@ def exact_dedup(
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; of rows that repeat an id and an
-    equal text one is kept."""
+    equal text the one with the most code points stays, of those the one with the smallest hash of its text, so that
+    reruns agree on the text. Rows alike in all that count as one: any of them stays."""
     decided = exact_dedup(docs, id_col, text_col)
+    text = filled(text_col)
+    keys = {"__id": F.col(id_col).cast("long"), "__sha": F.sha2(without_space(text), 256), "__size": -F.char_length(text), "__mark": F.xxhash64(text)}
+    marked = docs.select("*", *(c.alias(n) for n, c in keys.items()))
     stay = decided.where("kept").groupBy("doc_id", "text_sha256").agg(F.lit(1).alias("one"))
-    key = [F.col(id_col).cast("long").alias("__id"), F.sha2(without_space(filled(text_col)), 256).alias("__sha")]
-    marked = docs.select("*", *key)
     stay = stay.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    joined = marked.join(stay, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")))
-    return joined.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    # ids, sizes and hashes only: which of the rows that repeat an id stays
+    small = docs.select(*(c.alias(n) for n, c in keys.items())).join(stay, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")))
+    best = small.groupBy("__keep_id", "__keep_sha").agg(F.min(F.struct("__size", "__mark")).alias("__best"))
+    same = F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha"))
+    same &= (F.col("__size") == F.col("__best.__size")) & (F.col("__mark") == F.col("__best.__mark"))
+    return marked.join(best, same).dropDuplicates(["__id", "__sha"]).select(*docs.columns)

@@ -50,6 +50,18 @@ def test_drop_duplicates_keeps_one_row_of_each_text(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 7, 9]
 
 
+def test_drop_duplicates_keeps_the_longest_of_rows_that_repeat_an_id(spark):
+    rows = [(1, "ab"), (1, "a  b"), (1, " ab "), (1, "a b"), (None, "ab"), (2, "x y"), (2, "x z"), (3, None), (3, " "), (None, "only"), (None, " only")]
+    for order in (rows, rows[::-1]):
+        kept = sorted(((r.doc_id, r.text) for r in drop_duplicates(frame(spark, order)).collect()), key=repr)
+        assert [k for k in kept if k[0] != 1] == [(2, "x y"), (2, "x z"), (3, " "), (None, " only")]
+        one = [t for i, t in kept if i == 1]
+        assert len(one) == 1 and one[0] in ("a  b", " ab ")
+        if order is rows:
+            first = one
+        assert one == first
+
+
 def test_line_dedup(spark):
     pages = [(i, "http://A.example/x", f"<p>menu</p><p>own {i}</p><p>menu</p>") for i in range(5)]
     pages += [(10, "https://u@b.example:80/y", "<p>menu</p>"), (11, None, None), (12, "no address", ""), (13, "http://c.example", "<script>menu</script><b>x</b>")]
