@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import matching
+from . import percentiles
 
 
 def ranked_lists(ranked: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -188,12 +189,14 @@ def answer_summary(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         m = f"m_{c}"
         aggregates += [
             F.avg(m).alias(f"{c}_mean"),
-            F.median(m).alias(f"{c}_median"),
-            F.expr(f"percentile_disc(0.95) within group (order by {m})").alias(f"{c}_p95"),
             F.min(m).alias(f"{c}_min"),
             F.max(m).alias(f"{c}_max"),
         ]
-    return rows.groupBy(*keys).agg(*aggregates)
+    found = percentiles.exact_at(rows, [f"m_{c}" for c in LATENCIES], percentiles.summary_indexes(), keys)
+    out = percentiles.beside(rows.groupBy(*keys).agg(*aggregates), found, keys)
+    for c in LATENCIES:
+        out = out.withColumns({f"{c}_median": percentiles.middle(f"m_{c}"), f"{c}_p95": F.col(f"m_{c}_p95")})
+    return out.drop(*[f"m_{c}_{p}" for c in LATENCIES for p in percentiles.summary_indexes()])
 
 
 def failure_distribution(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..session import matching
+from . import percentiles
 
 CUTOFFS = (5, 10, 20, 30)
 
@@ -190,12 +191,10 @@ def eval_grouped(per_query: DataFrame, metrics: Sequence[str], dimensions: Seque
 def latency_summary(samples: DataFrame, value: str, keys: Sequence[str] = (), empty_zero: bool = True) -> DataFrame:
     """Mean, median, nearest-rank p95, min and max. No samples: zero, or null."""
     v = F.col(value)
-    out = samples.groupBy(*keys).agg(
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
+    sums = samples.groupBy(*keys).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = percentiles.exact_at(samples, [value], percentiles.summary_indexes(), keys)
+    out = percentiles.beside(sums, found, keys).select(
+        *keys, "mean", percentiles.middle(value).alias("median"), F.col(f"{value}_p95").alias("p95"), "min", "max"
     )
     return out.na.fill(0.0) if empty_zero else out
 
@@ -203,14 +202,17 @@ def latency_summary(samples: DataFrame, value: str, keys: Sequence[str] = (), em
 def latency_runs(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Totals per run: mean, p50, p95, max and the reranker's share."""
     total = "total_ms"
-    return runs.groupBy(*keys).agg(
+    sums = runs.groupBy(*keys).agg(
         F.avg(total).alias("mean_ms"),
-        F.expr(f"percentile_disc(0.5) within group (order by {total})").alias("p50_ms"),
-        F.expr(f"percentile_disc(0.95) within group (order by {total})").alias("p95_ms"),
         F.max(total).alias("max_ms"),
         F.avg("reranker_ms").alias("mean_reranker_ms"),
         F.when(F.sum(total) != 0, 100.0 * F.sum("reranker_ms") / F.sum(total)).otherwise(0.0).alias("reranker_percent"),
     )
+    indexes = {"p50": percentiles.index_nearest(0.5), "p95": percentiles.index_nearest(0.95)}
+    out = percentiles.beside(sums, percentiles.exact_at(runs, [total], indexes, keys), keys)
+    return out.select(
+        *keys, "mean_ms", F.col(f"{total}_p50").alias("p50_ms"), F.col(f"{total}_p95").alias("p95_ms"), "max_ms", "mean_reranker_ms", "reranker_percent"
+    )
 
 
 def eval_grouped_by(per_query: DataFrame, metrics: Sequence[str], key: str, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
