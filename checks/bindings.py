@@ -152,7 +152,7 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
+    turns = table(spark, sf_dir, "conversations")
     asked = turns.select(
         "conv_id",
         "turn",
@@ -169,7 +169,7 @@ exchanges AS (
   SELECT conv_id, turn, question, answer, reference FROM (
     SELECT conv_id, turn, role, text AS question,
            lead(text, 1) OVER w AS answer, lead(text, 3) OVER w AS reference
-    FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user' AND answer IS NOT NULL)
 """
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids
@@ -119,7 +120,7 @@ def ctx_expand_diagnostics(spark, sf):
 
 
 EVIDENCE_SQL = """
-bodies AS (SELECT 'c' || doc_id AS artifact_id, text AS content, doc_id % 3 AS flags, doc_id % 17 <> 0 AS version_ok FROM documents UNION ALL SELECT 'p' || source, min(substr(text, 1, 700)), 0, true FROM documents GROUP BY source),
+bodies AS (SELECT 'c' || doc_id AS artifact_id, text AS content, doc_id % 3 AS flags, doc_id % 17 <> 0 AS version_ok FROM documents UNION ALL SELECT 'p' || source, min(text), 0, true FROM documents GROUP BY source),
 valid AS (SELECT c.*, b.content, b.flags, sha256(b.content) AS h FROM candidates c JOIN bodies b USING (artifact_id) WHERE version_ok AND content <> ''),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY priority, final_rank, flags, artifact_id) AS copy FROM valid),
 selected AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, final_rank, flags, artifact_id) AS position FROM firsts WHERE copy = 1)
@@ -134,7 +135,7 @@ def evidence_rows(spark, sf):
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("artifact_id"), F.col("text").alias("content"), flags.alias("quality_flags"),
         (F.col("doc_id") % 17 != 0).alias("version_ok"), F.col("source").alias("document_title"), F.col("doc_id").cast("string").alias("canonical_locator"),
     ).unionByName(
-        d.groupBy("source").agg(F.min(F.substring("text", 1, 700)).alias("content")).select(
+        d.groupBy("source").agg(F.min("text").alias("content")).select(
             F.concat(F.lit("p"), F.col("source")).alias("artifact_id"), "content", F.array().cast("array<string>").alias("quality_flags"),
             F.lit(True).alias("version_ok"), F.col("source").alias("document_title"), F.col("source").alias("canonical_locator"),
         )
@@ -238,11 +239,15 @@ def generate_batch(spark, sf):
     return out.select("query_id", F.md5("raw").alias("raw_md5"), "attempts")
 
 
-# Model outputs of every kind, one per exchange.
+# Model outputs of every kind, one per exchange. An answer's lines are dealt to at most 12 blocks, which the contract
+# allows; one that does not fit them is an output to refuse.
 OUTPUTS_SQL = """
-outs AS (SELECT conv_id, turn, CASE conv_id % 7 WHEN 0 THEN '{broken' WHEN 1 THEN '{"status":"answered","answer_blocks":[],"limitations":[]}' WHEN 2 THEN '{"status":"insufficient_evidence","answer_blocks":[],"limitations":["x"]}'
-   WHEN 3 THEN '{"status":"answered","answer_blocks":[{"text":' || to_json(substr(answer, 1, 1500))::VARCHAR || ',"evidence_ids":["E1","E1"]}],"limitations":[]}' WHEN 4 THEN '{"status":"answered","answer_blocks":[{"text":' || to_json(substr(answer, 1, 1500))::VARCHAR || ',"evidence_ids":["E9"]}],"limitations":[]}'
-   ELSE 'ok' END AS raw, length(answer) AS n FROM exchanges)
+lined AS (SELECT conv_id, turn, answer, list_filter(string_split(answer, chr(10)), lambda x: x <> '') AS l FROM exchanges),
+dealt AS (SELECT conv_id, turn, answer, list_transform(range(0, len(l), greatest(1, ceil(len(l) / 12)::BIGINT)), lambda a: array_to_string(l[a + 1 : a + greatest(1, ceil(len(l) / 12)::BIGINT)], chr(10))) AS bl FROM lined),
+judged AS (SELECT conv_id, turn, bl, CASE conv_id % 7 WHEN 0 THEN 'structured_output_invalid' WHEN 1 THEN 'structured_output_invalid' WHEN 2 THEN NULL
+   WHEN 3 THEN CASE WHEN length(answer) BETWEEN 1 AND 2000 THEN 'invalid_model_evidence_id' ELSE 'structured_output_invalid' END
+   WHEN 4 THEN CASE WHEN length(answer) BETWEEN 1 AND 2000 THEN 'invalid_model_evidence_id' ELSE 'structured_output_invalid' END
+   ELSE CASE WHEN len(bl) = 0 OR len(list_filter(bl, lambda x: length(x) > 2000)) > 0 THEN 'structured_output_invalid' END END AS code FROM dealt)
 """
 
 
@@ -252,11 +257,13 @@ def outputs(spark, sf):
 
     def answer(*evidence_ids, tail=False):
         lines = F.filter(F.split("answer", "\n", -1), lambda t: t != "")
+        step = F.greatest(F.lit(1), F.ceil(F.size(lines) / 12).cast("int"))
+        starts = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1, step)).otherwise(F.array().cast("array<int>"))
         blocks = F.transform(
-            F.slice(lines, 1, 12),
+            F.transform(starts, lambda a: F.array_join(F.slice(lines, a + 1, step), "\n")),
             lambda t, i: F.struct(t.alias("text"), F.array(F.concat(F.lit("E"), (i % 3 + 1).cast("string")), F.concat(F.lit("E"), (i % 2 + 4).cast("string"))).alias("evidence_ids")),
         )
-        one = F.array(F.struct(F.substring("answer", 1, 1500).alias("text"), F.array(*[F.lit(e) for e in evidence_ids]).alias("evidence_ids"))) if evidence_ids else blocks
+        one = F.array(F.struct(F.col("answer").alias("text"), F.array(*[F.lit(e) for e in evidence_ids]).alias("evidence_ids"))) if evidence_ids else blocks
         return F.to_json(F.struct(F.lit("answered").alias("status"), one.alias("answer_blocks"), F.array().cast("array<string>").alias("limitations")))
 
     kind = F.col("conv_id") % 7
@@ -274,15 +281,15 @@ def outputs(spark, sf):
 
 @query(
     "answer_validate",
-    f"""WITH {EXCHANGES_SQL} SELECT conv_id, turn, CASE WHEN conv_id % 7 IN (5, 6) THEN 'answered' ELSE 'insufficient_evidence' END AS status, CASE conv_id % 7 WHEN 0 THEN 'structured_output_invalid' WHEN 1 THEN 'structured_output_invalid' WHEN 3 THEN 'invalid_model_evidence_id' WHEN 4 THEN 'invalid_model_evidence_id' END AS code,
-      CASE WHEN conv_id % 7 IN (5, 6) THEN least(12, len(list_filter(string_split(answer, chr(10)), lambda x: x <> ''))) ELSE 0 END AS blocks FROM exchanges""",
+    f"""WITH {EXCHANGES_SQL}, {OUTPUTS_SQL} SELECT conv_id, turn, CASE WHEN code IS NULL AND conv_id % 7 IN (5, 6) THEN 'answered' ELSE 'insufficient_evidence' END AS status, code,
+      CASE WHEN code IS NULL AND conv_id % 7 IN (5, 6) THEN len(bl) ELSE 0 END AS blocks FROM judged""",
 )
 def answer_validate(spark, sf):
     return prompts.answer_validate(outputs(spark, sf)).select("conv_id", "turn", "status", "code", F.size("answer_blocks").alias("blocks"))
 
 
 CITE_SQL = """
-blocks AS (SELECT conv_id, turn, unnest(list_filter(string_split(answer, chr(10)), lambda x: x <> '')[1:12]) AS text, generate_subscripts(list_filter(string_split(answer, chr(10)), lambda x: x <> '')[1:12], 1) - 1 AS b FROM exchanges WHERE conv_id % 7 IN (5, 6)),
+blocks AS (SELECT conv_id, turn, unnest(bl) AS text, generate_subscripts(bl, 1) - 1 AS b FROM judged WHERE conv_id % 7 IN (5, 6) AND code IS NULL),
 uses AS (SELECT conv_id, turn, b, text, 0 AS place, 'E' || (b % 3 + 1) AS e FROM blocks UNION ALL SELECT conv_id, turn, b, text, 1, 'E' || (b % 2 + 4) FROM blocks),
 firsts AS (SELECT conv_id, turn, e, min(b * 10 + place) AS f FROM uses GROUP BY ALL),
 nums AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY f) AS citation FROM firsts),
@@ -292,8 +299,8 @@ marks AS (SELECT conv_id, turn, b, any_value(text) AS text, string_agg('[' || ci
 
 @query(
     "cite_resolve",
-    f"""WITH {EXCHANGES_SQL}, {CITE_SQL} SELECT conv_id, turn, md5(string_agg(text || ' ' || m, chr(10) || chr(10) ORDER BY b)) AS answer_md5, count(*) AS blocks FROM marks GROUP BY ALL
-    UNION ALL SELECT conv_id, turn, md5('The available evidence does not allow a reliable answer.'), 0 FROM exchanges WHERE conv_id % 7 NOT IN (5, 6)""",
+    f"""WITH {EXCHANGES_SQL}, {OUTPUTS_SQL}, {CITE_SQL} SELECT conv_id, turn, md5(string_agg(text || ' ' || m, chr(10) || chr(10) ORDER BY b)) AS answer_md5, count(*) AS blocks FROM marks GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, md5('The available evidence does not allow a reliable answer.'), 0 FROM judged WHERE conv_id % 7 NOT IN (5, 6) OR code IS NOT NULL""",
 )
 def cite_resolve(spark, sf):
     valid = prompts.answer_validate(outputs(spark, sf))
@@ -322,27 +329,36 @@ def cite_resolve_sources(spark, sf):
     return citations.resolve_citations(numbered, ev, arts, src).select("document_id", "error", "source_validated", "preview")
 
 
-# Selectors of the second word of each document, shifted for some of them.
+# Selectors of every word of each document, shifted for every other one; a line per document digests them.
 @query(
     "cite_quote_match",
-    """WITH q AS (SELECT doc_id, text, string_split(text, ' ')[2] AS exact, length(string_split(text, ' ')[1]) + 1 AS s FROM documents WHERE len(string_split(text, ' ')) > 2),
-    x AS (SELECT doc_id, text, exact, s, substr(text, greatest(s - 6, 0) + 1, s - greatest(s - 6, 0)) AS prefix, substr(text, s + length(exact) + 1, 6) AS suffix FROM q WHERE exact <> ''),
+    """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS exact, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+    p AS (SELECT doc_id, exact, i, (sum(length(exact) + 1) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(exact) - 1 AS s FROM w),
+    x AS (SELECT doc_id, i, exact, s, text, substr(text, greatest(s - 6, 0) + 1, s - greatest(s - 6, 0)) AS prefix, substr(text, s + length(exact) + 1, 6) AS suffix FROM p JOIN documents USING (doc_id) WHERE exact <> ''),
     f AS (SELECT *, instr(text, prefix || exact || suffix) AS first FROM x),
-    n AS (SELECT doc_id, s, doc_id % 2 = 0 AS moved, CASE WHEN instr(substr(text, first + 1), prefix || exact || suffix) > 0 THEN 2 ELSE 1 END AS hits, substr(text, s + 4, length(exact)) = exact AS still FROM f)
-    SELECT doc_id, CASE WHEN NOT moved THEN s WHEN still THEN s + 3 WHEN hits = 1 THEN s ELSE -1 END AS resolved_start, CASE WHEN NOT moved OR still THEN 'position' WHEN hits = 1 THEN 'quote_fallback' END AS mode FROM n""",
+    n AS (SELECT doc_id, i, s, (doc_id + i) % 2 = 0 AS moved, instr(substr(text, first + 1), prefix || exact || suffix) = 0 AS alone, substr(text, s + 4, length(exact)) = exact AS still FROM f),
+    r AS (SELECT doc_id, i, CASE WHEN NOT moved THEN s WHEN still THEN s + 3 WHEN alone THEN s END AS start, CASE WHEN NOT moved OR still THEN 'position' WHEN alone THEN 'quote_fallback' END AS mode FROM n)
+    SELECT doc_id, count(*) AS words, count(*) FILTER (mode = 'position') AS in_place, count(*) FILTER (mode = 'quote_fallback') AS found, coalesce(sum(start), 0)::BIGINT AS starts, coalesce(sum(start * i), 0)::BIGINT AS weighed FROM r GROUP BY doc_id""",
 )
 def cite_quote_match(spark, sf):
-    d = documents(spark, sf).withColumn("w", F.split("text", " ", -1)).filter("size(w) > 2 and w[1] <> ''")
-    rows = d.select("doc_id", "text", F.col("w")[1].alias("exact"), (F.length(F.col("w")[0]) + 1).alias("s"))
-    lead = F.greatest(F.col("s") - 6, F.lit(0))
-    moved = F.when(F.col("doc_id") % 2 == 0, 3).otherwise(0)
-    sel = rows.select(
-        "doc_id", "text", "exact", F.substring("text", lead + 1, F.col("s") - lead).alias("prefix"),
-        F.substring("text", F.col("s") + F.length("exact") + 1, F.lit(6)).alias("suffix"),
-        (F.col("s") + moved).alias("position_start"), (F.col("s") + moved + F.length("exact")).alias("position_end"),
+    d = documents(spark, sf).select(F.col("doc_id").alias("document_id"), "text")
+    words = F.split("text", " ", -1)
+    # Start of each word: the lengths before it, as a running sum over the document's words.
+    w = Window.partitionBy("document_id").orderBy("i")
+    placed = d.select("document_id", F.posexplode(words).alias("at", "exact")).withColumn("i", F.col("at") + 1)
+    placed = placed.withColumn("s", F.sum(F.length("exact") + 1).over(w) - F.length("exact") - 1).filter("exact <> ''")
+    spans = placed.select("document_id", "i", F.lit(0).alias("page"), F.col("s").alias("char_start"), (F.col("s") + F.length("exact")).alias("char_end"))
+    no_pages = spans.select("document_id", "page", F.lit(0).alias("page_start"), F.lit(0).alias("page_end")).limit(0)
+    cut = evidence.selectors(spans, d, no_pages, context=6)
+    shift = F.when((F.col("document_id") + F.col("i")) % 2 == 0, 3).otherwise(0)
+    asked = cut.select(
+        "document_id", "i", "exact", "prefix", "suffix", (F.col("position_start") + shift).alias("position_start"), (F.col("position_end") + shift).alias("position_end")
+    )
+    found = citations.resolve_in_documents(asked, d)
+    return found.groupBy(F.col("document_id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("words"), F.count_if(F.col("mode") == "position").alias("in_place"), F.count_if(F.col("mode") == "quote_fallback").alias("found"),
+        F.coalesce(F.sum("resolved_start"), F.lit(0)).alias("starts"), F.coalesce(F.sum(F.col("resolved_start") * F.col("i")), F.lit(0)).alias("weighed"),
     )
-    out = citations.resolve_selectors(sel)
-    return out.select("doc_id", F.coalesce("resolved_start", F.lit(-1)).alias("resolved_start"), "mode")
 
 
 @query(

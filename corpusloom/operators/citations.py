@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..session import matching
+from . import sweeps
 
 
 def number_citations(answers: DataFrame) -> DataFrame:
@@ -40,29 +41,24 @@ def render_answers(answers: DataFrame, numbered: DataFrame, fallbacks: dict[str,
     return answers.join(text, "query_id", "left").withColumn("answer", F.coalesce(F.nullif(F.trim("answer"), F.lit("")), default, F.lit("")))
 
 
-def resolve_selectors(rows: DataFrame) -> DataFrame:
-    """Check each selector at its position, else find its quote; it must be unique.
+def resolve_in_documents(selectors: DataFrame, sources: DataFrame) -> DataFrame:
+    """Check each selector at its position, else find its quote with its surroundings; it must be unique.
 
-    ``rows``: ``text, position_start, position_end, exact, prefix, suffix``.
-    A hit with matching surroundings is an occurrence of prefix, quote and
-    suffix in one piece, so two substring searches decide whether it is the
-    only one, overlapping hits included.
+    A document's selectors read its text together. Without a hit, or with more than one, there is an error.
+    ``selectors``: ``document_id, position_start, position_end, exact, prefix, suffix`` and more; ``sources``: ``document_id, text``.
     """
-    at = F.substring(F.col("text"), F.col("position_start") + 1, F.col("position_end") - F.col("position_start"))
-    checked = (
-        rows.withColumn("in_place", at == F.col("exact"))
-        .withColumn("piece", F.concat("prefix", "exact", "suffix"))
-        .withColumn("first", F.when(~F.col("in_place"), F.expr("locate(piece, text, 1)")).otherwise(0))
-    )
-    out = checked.withColumn("second", F.when(F.col("first") > 0, F.expr("locate(piece, text, first + 1)")).otherwise(0))
-    unique = (F.col("first") > 0) & (F.col("second") == 0)
-    start = F.when(F.col("in_place"), F.col("position_start")).when(unique, F.col("first") - 1 + F.length("prefix"))
-    return out.select(
-        *[c for c in rows.columns if c != "text"],
+
+    def answer(text, items):
+        return sweeps.find_quotes(text, *[items[c] for c in ("position_start", "position_end", "exact", "prefix", "suffix")])
+
+    found = sweeps.beside_text(selectors, sources, answer)
+    start = F.col("answer.start")
+    return found.select(
+        *selectors.columns,
         start.alias("resolved_start"),
         (start + F.length("exact")).alias("resolved_end"),
-        F.when(F.col("in_place"), "position").when(unique, "quote_fallback").alias("mode"),
-        F.when(~F.col("in_place") & ~unique, "evidence selector cannot be resolved uniquely").alias("error"),
+        F.col("answer.mode").alias("mode"),
+        F.when(F.col("answer").isNull(), "evidence selector cannot be resolved uniquely").alias("error"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as tx
+from . import sweeps
 
 # Relation priorities and the order relations are inspected in.
 RELATION_PRIORITY = {
@@ -180,24 +181,26 @@ def selectors(spans: DataFrame, sources: DataFrame, page_bounds: DataFrame, cont
     """Position, page position and quote of every valid span.
 
     ``spans``: keys with ``document_id, span_no, page, char_start, char_end``.
-    The text travels to a span only after the page test, by equi-joins.
+    A document's spans are cut together, so its text is joined and opened once for them.
     """
     located = spans.join(page_bounds.select("document_id", "page", "page_start", "page_end"), ["document_id", "page"], "left")
-    rows = located.join(sources.select("document_id", "text"), "document_id")
+
+    def answer(text, items):
+        return sweeps.cut_pieces(text, items["char_start"], items["char_end"], context)
+
+    rows = sweeps.beside_text(located, sources, answer).filter(F.col("answer").isNotNull())
     start, end = F.col("char_start"), F.col("char_end")
-    ok = (start >= 0) & (end > start) & (end <= F.length("text"))
     inside = F.col("page_start").isNotNull() & (F.col("page_start") <= start) & (end <= F.col("page_end"))
     keep = [c for c in spans.columns if c not in ("char_start", "char_end")]
-    lead = F.greatest(start - context, F.lit(0))
-    return rows.filter(ok).select(
+    return rows.select(
         *keep,
         start.alias("position_start"),
         end.alias("position_end"),
         F.when(inside, start - F.col("page_start")).alias("page_position_start"),
         F.when(inside, end - F.col("page_start")).alias("page_position_end"),
-        F.substring("text", start + 1, end - start).alias("exact"),
-        F.substring("text", lead + 1, start - lead).alias("prefix"),
-        F.substring("text", end + 1, F.lit(context)).alias("suffix"),
+        F.col("answer.exact").alias("exact"),
+        F.col("answer.prefix").alias("prefix"),
+        F.col("answer.suffix").alias("suffix"),
     )
 
 
