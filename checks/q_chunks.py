@@ -10,7 +10,7 @@ from corpusloom.operators import chunking, relations, structure
 from corpusloom.plans import corpus
 
 from .bindings import ITEMIZED_SQL, STRUCTURED_SQL, WS, itemized, sql_count, sql_strip, structured
-from .q_structure import CLASSIFIED_SQL, LINES_SQL, NODES_SQL, PATHS_SQL, SPANS_SQL, kinds_sql
+from .q_structure import CLASSIFIED_SQL, LINES_SQL, NODES_SQL, PATHS_SQL, SPANS_SQL, TABLES_SQL, kinds_sql
 from .registry import query, staged
 
 def meta(spark, sf, docs=None):
@@ -53,8 +53,9 @@ noded AS (SELECT l.*, c.content, c.n_lines, k.node_line IS NOT NULL AS has_child
    FROM located l JOIN contents c USING (document_id, node_line) LEFT JOIN kids k USING (document_id, node_line)
    LEFT JOIN heads p ON p.document_id = l.document_id AND p.node_line = l.parent_line
    LEFT JOIN contents pc ON pc.document_id = l.document_id AND pc.node_line = l.parent_line),
-useful AS (SELECT n.*, c.category FROM noded n JOIN corpus c USING (document_id)
-   WHERE content <> '' AND kind <> 'table' AND NOT (has_children AND n_lines = 1 AND kind IN ('chapter', 'article', 'section', 'heading', 'annex'))),
+filled AS (SELECT n.*, c.category FROM noded n JOIN corpus c USING (document_id)
+   WHERE content <> '' AND NOT (has_children AND n_lines = 1 AND kind IN ('chapter', 'article', 'section', 'heading', 'annex'))),
+useful AS (SELECT * FROM filled WHERE kind <> 'table'),
 lead_words AS (SELECT document_id, node_line, i, w, sum({sql_count('w')}) OVER (PARTITION BY document_id, node_line ORDER BY i) AS cum
    FROM (SELECT document_id, node_line, unnest(list_filter(string_split_regex(lead_in, '[{WS}]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(lead_in, '[{WS}]+'), lambda x: x <> ''), 1) AS i FROM useful WHERE lead_in IS NOT NULL)),
 lead_cut AS (SELECT document_id, node_line, string_agg(w, ' ' ORDER BY i) AS cut FROM lead_words WHERE i = 1 OR cum <= {CUT} GROUP BY ALL),
@@ -106,46 +107,76 @@ def atoms_sql(corpus_sql: str = STRUCTURED_SQL, *extra: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
 
+def unit_id_sql(kind: str, locator: str) -> str:
+    named = f"{locator} || CASE WHEN occurrence > 1 THEN ' [occurrence ' || occurrence || ']' ELSE '' END"
+    return f"'unit_' || substr(sha256(document_id || chr(31) || {kind} || chr(31) || {sql_strip(named)}), 1, 24)"
+
+
+# Row groups of tables, packed greedily with the header, and all units of both kinds with their split parts.
+UNITS_SQL = f"""
+t_heads AS (SELECT document_id, node_line, max(CASE WHEN ruled = 1 AND n = 1 THEN array_to_string(cells, ' | ') END) AS hdr, max(CASE WHEN ruled = 1 AND n = 1 THEN array_to_string(cells, '~') END) AS headers,
+   max(CASE WHEN ruled = 1 AND n = 1 THEN len(cells) END) AS width, greatest(1, sum((n > 2 * ruled)::INT)) AS total_rows FROM t_cells GROUP BY ALL),
+t_named AS (SELECT f.*, h.* EXCLUDE (document_id, node_line), concat_ws(chr(10), 'Document: ' || category, 'Chapter: ' || chapter_label, 'Article: ' || article_label, 'Section: ' || section_label,
+     'Annex: ' || annex_label, 'Clause: ' || nullif(clause, ''), 'Subclause: ' || nullif(subclause, '')) || coalesce(chr(10) || 'Table: ' || parent_title, '') || chr(10) || 'Column headers: ' || coalesce(hdr, '') AS prefix,
+   coalesce('| ' || hdr || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(width), lambda i: '---'), ' | ') || ' |', '') AS header_md
+   FROM filled f JOIN t_heads h USING (document_id, node_line) WHERE kind = 'table'),
+t_sized AS (SELECT *, {sql_count('prefix')} AS prefix_tokens, {sql_count('header_md')} AS header_tokens FROM t_named),
+t_md AS (SELECT document_id, node_line, n, '| ' || array_to_string(cells, ' | ') || ' |' AS md, len(list_filter(cells, lambda c: regexp_matches(c, '[^ _.-]'))) > 0 AS has_text,
+   len(list_filter(cells, lambda c: c <> '')) > 0 AS has_any FROM t_cells WHERE n > 2 * ruled),
+t_seq AS MATERIALIZED (SELECT m.document_id, m.node_line, md, row_number() OVER (PARTITION BY m.document_id, m.node_line ORDER BY n) AS r, {sql_count('md')} AS c, header_tokens,
+   greatest(1, 450 - prefix_tokens - 8) AS room FROM t_md m JOIN t_sized USING (document_id, node_line) WHERE has_text),
+t_walk AS (SELECT document_id, node_line, r, 1 AS grp, header_tokens + c AS tok FROM t_seq WHERE r = 1
+   UNION ALL SELECT a.document_id, a.node_line, b.r, CASE WHEN a.tok + b.c > b.room THEN a.grp + 1 ELSE a.grp END, CASE WHEN a.tok + b.c > b.room THEN b.header_tokens + b.c ELSE a.tok + b.c END
+   FROM t_walk a JOIN t_seq b ON a.document_id = b.document_id AND a.node_line = b.node_line AND b.r = a.r + 1),
+t_groups AS (SELECT document_id, node_line, grp, min(r) AS row_start, max(r) AS row_end, string_agg(md, chr(10) ORDER BY r) AS body FROM t_walk JOIN t_seq USING (document_id, node_line, r) GROUP BY ALL
+   UNION ALL SELECT document_id, node_line, 1, 1, 1, (SELECT string_agg(md, chr(10) ORDER BY n) FROM t_md m WHERE m.document_id = s.document_id AND m.node_line = s.node_line AND has_any)
+   FROM t_sized s WHERE NOT EXISTS (SELECT 1 FROM t_seq q WHERE q.document_id = s.document_id AND q.node_line = s.node_line)),
+t_units AS (SELECT s.*, g.grp, g.row_start, g.row_end, CASE WHEN header_md <> '' THEN concat_ws(chr(10), header_md, nullif(body, '')) ELSE coalesce(body, '') END AS text,
+   locator || ', sətirlər ' || row_start || '-' || row_end AS unit_locator FROM t_sized s JOIN t_groups g USING (document_id, node_line)),
+every AS (SELECT document_id, node_line, 0 AS grp, locator AS unit_locator, content, lead_in, prefix, prefix_tokens, unit_id, budget FROM limits
+   UNION ALL SELECT document_id, node_line, grp, unit_locator, text, lead_in, prefix, prefix_tokens, {unit_id_sql("'table_row_group'", 'unit_locator')}, greatest(8, 450 - prefix_tokens - 3) FROM t_units),
+{split_sql("every", "document_id, node_line, grp").strip()},
+pieces_of AS (SELECT e.* EXCLUDE (content), part_no, text, count(*) OVER (PARTITION BY document_id, node_line, grp) AS split_count FROM parts JOIN every e USING (document_id, node_line, grp))
+"""
+
+
+def units_sql() -> str:
+    return atoms_sql(STRUCTURED_SQL, TABLES_SQL, UNITS_SQL)
+
+
 @query(
     "chunk_atoms",
-    atoms_sql() + " SELECT document_id, node_line, unit_id, locator, md5(content) AS content_md5, md5(coalesce(lead_in, '')) AS lead_in_md5, prefix_tokens FROM limits",
+    units_sql() + """ SELECT document_id, node_line, unit_id, unit_locator AS locator, part_no AS split_index, split_count, md5(text) AS content_md5, md5(coalesce(lead_in, '')) AS lead_in_md5, prefix_tokens
+    FROM pieces_of""",
 )
 def chunk_atoms(spark, sf):
-    nodes = structure.parse(structured(spark, sf))
-    docs = meta(spark, sf)
-    units = chunking.atoms(nodes, docs).filter("table is null and split_index = 1")
+    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf))
     prefix = F.split("embedding_text", "\nText: ", 2)[0]
-    body = nodes.select("document_id", "node_line", F.md5("content").alias("content_md5"))
-    return units.join(body, ["document_id", "node_line"]).select(
-        "document_id", "node_line", F.col("logical_unit_id").alias("unit_id"), "locator", "content_md5",
+    return units.select(
+        "document_id", "node_line", F.col("logical_unit_id").alias("unit_id"), "locator", "split_index", "split_count", F.md5("content").alias("content_md5"),
         F.md5(F.coalesce("parent_lead_in", F.lit(""))).alias("lead_in_md5"), tx.tok_count(prefix).alias("prefix_tokens"),
     )
 
 
-@query(
-    "txt_embedding_prefix",
-    atoms_sql() + " SELECT document_id, node_line, md5(prefix) AS prefix_md5 FROM limits",
-)
+@query("txt_embedding_prefix", units_sql() + " SELECT DISTINCT document_id, node_line, md5(prefix) AS prefix_md5 FROM every")
 def txt_embedding_prefix(spark, sf):
-    nodes = structure.parse(structured(spark, sf))
-    rows = nodes.filter(
-        (F.col("content") != "") & (F.col("kind") != "table")
-        & ~(F.col("has_children") & (F.col("line_count") == 1) & F.col("kind").isin(*chunking.CONTAINERS))
-    ).join(meta(spark, sf).select("document_id", "document_title"), "document_id")
-    cut = rows.withColumn("cut", chunking.lead_in_cut("lead_in", CUT))
-    return cut.select("document_id", "node_line", F.md5(chunking.embedding_prefix(F.col("cut"))).alias("prefix_md5"))
+    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf))
+    prefix = F.split("embedding_text", "\nText: ", 2)[0]
+    return units.select("document_id", "node_line", F.md5(prefix).alias("prefix_md5")).distinct()
 
 
-@query(
-    "chunk_split",
-    atoms_sql(STRUCTURED_SQL, split_sql("limits", "document_id, node_line")) + " SELECT document_id, node_line, part_no, md5(text) AS text_md5 FROM parts",
-)
+@query("chunk_split", units_sql() + " SELECT document_id, node_line, unit_locator AS locator, part_no, md5(text) AS text_md5 FROM pieces_of")
 def chunk_split(spark, sf):
-    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf)).filter("table is null")
-    return units.select("document_id", "node_line", F.col("split_index").alias("part_no"), F.md5("content").alias("text_md5"))
+    units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf))
+    return units.select("document_id", "node_line", "locator", F.col("split_index").alias("part_no"), F.md5("content").alias("text_md5"))
 
 
-@query("chunk_table_rows")
+@query(
+    "chunk_table_rows",
+    units_sql() + f""" SELECT document_id, node_line, unit_locator AS locator, part_no AS split_index, split_count,
+    'table_' || substr(sha256(document_id || chr(31) || {sql_strip('t.locator')} || chr(31) || node_line), 1, 24) AS table_id, row_start, row_end, total_rows, coalesce(headers, '') AS headers,
+    md5(p.text) AS text_md5, {sql_count("p.prefix || chr(10) || 'Text: ' || p.text")} AS token_count FROM pieces_of p JOIN (SELECT document_id, node_line, grp, locator, row_start, row_end, total_rows, headers FROM t_units) t USING (document_id, node_line, grp)""",
+)
 def chunk_table_rows(spark, sf):
     units = chunking.atoms(structure.parse(structured(spark, sf)), meta(spark, sf)).filter("table is not null")
     return units.select(

@@ -15,10 +15,10 @@ from .q_structure import CLASSIFIED_SQL, DECISION_CORPUS, LINES_SQL, NODES_SQL,
 from .q_text import PROFILE_SQL, _canonical_sql
 from .registry import query, staged
 
-# Every text node stands for one chunk; its boundary is the parent.
+# Every node with text, tables too, stands for one chunk; its boundary is the parent.
 CHUNKS_SQL = f"""
 chunks AS (SELECT document_id, document_id || ':' || node_line AS chunk_id, node_line AS chunk_no, document_id || ':' || boundary_line AS parent_chunk_id,
-   locator AS canonical_locator, content, kind, annex, sha256(content) AS content_sha256, {sql_count('content')} AS token_count FROM useful)
+   locator AS canonical_locator, content, kind, annex, sha256(content) AS content_sha256, {sql_count('content')} AS token_count FROM filled)
 """
 
 
@@ -29,7 +29,7 @@ def parsed(spark, sf):
 def node_chunks(spark, sf):
     nodes = parsed(spark, sf)
     kept = nodes.filter(
-        (F.col("content") != "") & (F.col("kind") != "table")
+        (F.col("content") != "")
         & ~(F.col("has_children") & (F.col("line_count") == 1) & F.col("kind").isin(*chunking.CONTAINERS))
     )
     key = F.concat("document_id", F.lit(":"), F.col("node_line").cast("string"))
@@ -127,8 +127,8 @@ def rel_continuations(spark, sf):
     atoms_sql(STRUCTURED_SQL, CHUNKS_SQL) + " SELECT document_id, chunk_no AS node_line FROM chunks c JOIN located l USING (document_id) WHERE l.node_line = split_part(parent_chunk_id, ':', 2)::BIGINT AND l.annex IS NOT NULL",
 )
 def rel_annex_table(spark, sf):
-    first = built(spark, sf).children.filter("annex_parent is not null and table is null and split_index = 1")
-    return first.select("document_id", F.col("source_spans")[0]["line_start"].alias("node_line"))
+    held = built(spark, sf).children.filter("annex_parent is not null")
+    return held.select("document_id", F.col("source_spans")[0]["line_start"].alias("node_line")).distinct()
 
 
 @query(
