@@ -164,3 +164,29 @@ def test_limits_are_checked():
 
     with pytest.raises(ValueError):
         chunking.ChunkLimits(pack_below=200)
+
+
+def test_decision_is_asked_once_a_document(spark):
+    """What stands beside the explode into lines would read the text again for every line."""
+    docs = spark.createDataFrame([("d", "1. Bir\nHeç nə\n2. İki")], "document_id string, text string")
+    lines = structure.document_lines(docs)
+    steps = [s for s in lines._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in s or "upper(" in s]
+    assert [("Generate" in s, "upper(" in s) for s in steps] == [(True, False), (False, True)]
+    assert [r["decision"] for r in lines.collect()] == [False, False, False]
+    upper = spark.createDataFrame([("d", "1. Bir\nQƏRARA ALIR\n2. İki")], "document_id string, text string")
+    assert all(r["decision"] for r in structure.document_lines(upper).collect())
+
+
+def test_segments_build_their_drafts_once(spark):
+    rows = [("d", n, 1 + n // 40, 100, f"c{n}") for n in range(1, 121)]
+    drafts = spark.createDataFrame(rows, "document_id string, chunk_no int, boundary_line int, content_tokens int, content string")
+    out = chunking.parent_segments(drafts)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["chunk_no"]: (r["segment"], r["content"]) for r in out.collect()}
+    want, segment, total, edge = {}, 0, 0, None
+    for _, n, line, size, content in rows:
+        if line != edge or total + size > 1200:
+            segment, total, edge = segment + 1, 0, line
+        total += size
+        want[n] = (segment, content)
+    assert got == want
