@@ -72,7 +72,12 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 
 def rerank(pairs: DataFrame, top: int | None = None, scorer: str | None = None) -> DataFrame:
-    """Score ``(query_id, chunk_id, query, text)``, order by score then id, cut."""
+    """Score ``(query_id, chunk_id, query, text)``, order by score then id, cut.
+
+    Pairs are few and light to move but dear to score: dealt by their number, not by their bytes, which adaptive
+    execution would gather in one task.
+    """
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "chunk_id")
     if scorer is None:
         scored = pairs.withColumn("reranker_score", overlap_score(F.col("query"), F.col("text")))
     else:

@@ -240,3 +240,14 @@ def test_percentile_upper(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v int")
     want = sorted(values)[min(100, int(100 * 0.95 + 0.999999))]
     assert quality.percentile_upper(rows, "v", 0.95).first()["v"] == want
+
+
+def test_pairs_are_scored_by_all_tasks(spark):
+    """A few megabytes of pairs are one partition to adaptive execution; scoring them there was one task."""
+    from corpusloom.operators import rerank
+
+    rows = [(q, c, "bir iki", f"bir {c}") for q in range(8) for c in range(30)]
+    pairs = spark.createDataFrame(rows, "query_id int, chunk_id int, query string, text string").coalesce(1)
+    plan = rerank.rerank(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    assert rerank.rerank(pairs, top=5).count() == 40

@@ -68,3 +68,12 @@ def test_composition_guard_covers_every_code_point(spark):
     df = spark.createDataFrame(changed, "c string")
     assert df.where(~F.col("c").rlike(tx.composed_class())).count() == 0
     assert [r[0] for r in df.select(tx.nfc(F.col("c"))).collect()] == [unicodedata.normalize("NFC", c) for (c,) in changed]
+
+
+def test_the_short_class_lets_nothing_pass_that_composition_changes(spark):
+    """Code points and their fellows of every range that may change, and punctuation that the long class need not read."""
+    chars = [chr(c) for a, b in tx._composed_ranges() for c in (a, b)]
+    quiet = "plain text — ’“中Ж \U0001f600"
+    rows = spark.createDataFrame([(c,) for c in chars] + [(quiet,)], "c string")
+    told = dict(rows.select("c", F.col("c").rlike(tx.steady_class())).collect())
+    assert all(told[c] for c in chars) and not told[quiet]
