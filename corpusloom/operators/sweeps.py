@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that meet a text together. A document with more of them is read once per such group.
@@ -21,25 +21,21 @@ GROUP_ROWS = 20_000
 def beside_text(rows: DataFrame, sources: DataFrame, answer: Callable[[Column, Column], Column]) -> DataFrame:
     """``rows`` with an ``answer`` struct that ``answer(text, items)`` gives for all rows of a group at once.
 
-    ``rows`` need ``document_id``; ``sources`` has ``document_id, text``, one row a document. Equal rows are
-    counted, answered once and repeated. A row without a text gets the answer for a null text.
+    ``rows`` need ``document_id``; ``sources`` has ``document_id, text``, one row a document. A row without a text
+    gets the answer for a null text. Rows move once, by document, and not at all where they are laid out so already:
+    they are numbered and packed in that layout.
     """
     columns = [c for c in rows.columns if c != "document_id"]
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    sizes = counted.groupBy(F.col("document_id").alias("__id")).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("__groups"))
-    part = F.pmod(F.xxhash64(*columns), F.col("__groups"))
-    item = F.struct(*columns, "__copies")
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("document_id"))
     packed = (
-        counted.join(sizes, F.col("document_id").eqNullSafe(F.col("__id")))
-        .select("document_id", part.alias("__part"), item.alias("__item"))
+        rows.select("document_id", F.struct(*columns).alias("__item"), F.floor((number - 1) / GROUP_ROWS).alias("__part"))
         .groupBy("document_id", "__part")
         .agg(F.collect_list("__item").alias("__items"))
     )
     opened = packed.join(sources.select("document_id", F.col("text").alias("__text")), "document_id", "left")
     answered = opened.select("document_id", "__items", answer(F.col("__text"), F.col("__items")).alias("__answers"))
-    each = answered.select("document_id", F.explode(F.arrays_zip("__items", "__answers")).alias("z"))
-    again = each.select("document_id", "z.*", F.explode(F.array_repeat(F.lit(0), F.col("z.__items.__copies").cast("int"))).alias("__again"))
-    return again.select("document_id", *[F.col(f"__items.`{c}`").alias(c) for c in columns], F.col("__answers").alias("answer"))
+    each = answered.select("document_id", F.explode(F.arrays_zip("__items", "__answers")).alias("z")).select("document_id", "z.*")
+    return each.select("document_id", *[F.col(f"__items.`{c}`").alias(c) for c in columns], F.col("__answers").alias("answer"))
 
 
 def cut_pieces(text: Column, starts: Column, ends: Column, context: int) -> Column:

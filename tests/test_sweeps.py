@@ -68,3 +68,17 @@ def test_texts_travel_once_per_group(spark):
     join = plan.index("Join LeftOuter")
     assert plan.index("collect_list", join) > join  # packed below the join with the texts
     assert {r["answer"]["exact"] for r in seen.collect()} == {"word"}
+
+
+def test_rows_move_once_by_document(spark):
+    """Rows with their quotes are what weighs: one exchange for them and one for the texts, whatever the groups."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sources = spark.range(50).selectExpr("cast(id as string) as document_id", "repeat('word ', 20) as text")
+        rows = spark.range(1000).selectExpr("cast(id % 50 as string) as document_id", "id as n", "cast(id / 50 as int) as a", "cast(id / 50 as int) + 3 as b")
+        seen = sweeps.beside_text(rows, sources, lambda text, items: sweeps.cut_pieces(text, items["a"], items["b"], 0))
+        assert len(seen.collect()) == 1000
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
