@@ -172,8 +172,10 @@ def id_point(spark, sf):
     return named.withColumn("point_id", ids.point_id(F.col("chunk_id")))
 
 
-_HEAD = "list_filter(string_split(text, chr(10))[1:30], lambda x: {s} <> '' AND NOT contains(x, '<!-- PAGE:') AND {s} <> '---')".format(s=sql_strip("x"))
-_CAND = f"list_transform({_HEAD}, lambda x: {sql_strip(f'''regexp_replace(x, '^#+[{WS}]*|[[][0-9]+[]][{WS}]*$', '', 'g')''')})"
+_LINES = r"string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\n\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')"
+_UNQUOTED = """regexp_replace(title, '^[“"]|[”"]$', '', 'g')"""
+_HEAD = "list_filter(" + _LINES + "[1:30], lambda x: {s} <> '' AND NOT contains(x, '<!-- PAGE:') AND {s} <> '---')".format(s=sql_strip("x"))
+_CAND = rf"list_transform({_HEAD}, lambda x: {sql_strip(rf'''regexp_replace(x, '^#+[{WS}]*|[[]\p{{Nd}}+[]][{WS}]*$', '', 'g')''')})"
 
 
 @query(
@@ -181,8 +183,10 @@ _CAND = f"list_transform({_HEAD}, lambda x: {sql_strip(f'''regexp_replace(x, '^#
     rf"""WITH lines AS (SELECT doc_id, {_CAND} AS c, md5(text) AS stem FROM documents),
     pick AS (SELECT doc_id, stem, CASE WHEN len(list_filter(c, lambda x: length(x) BETWEEN 12 AND 240)) > 0
         THEN list_filter(c, lambda x: length(x) BETWEEN 12 AND 240) ELSE c END AS c FROM lines),
-    best AS (SELECT doc_id, coalesce(c[list_position(list_transform(c, lambda x: length(x)), list_max(list_transform(c, lambda x: length(x))))], stem) AS title FROM pick)
-    SELECT doc_id, title, substr(title, 1, 160) AS short_title FROM best""",
+    best AS (SELECT doc_id, coalesce(c[list_position(list_transform(c, lambda x: length(x)), list_max(list_transform(c, lambda x: length(x))))], stem) AS title FROM pick),
+    bare AS (SELECT doc_id, title, {sql_strip(_UNQUOTED)} AS b FROM best),
+    cut AS (SELECT doc_id, title, regexp_replace(b, '(?i)[{WS}]+Azərbaycan Respubl[iıİ]kas[iıİ]n[iıİ]n.*$', '') AS c FROM bare)
+    SELECT doc_id, title, substr(CASE WHEN c = '' THEN title ELSE c END, 1, 160) AS short_title FROM cut""",
 )
 def doc_title(spark, sf):
     titled = documents(spark, sf).select("doc_id", tx.doc_title(F.md5("text"), F.col("text")).alias("title"))

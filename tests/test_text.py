@@ -77,3 +77,25 @@ def test_the_short_class_lets_nothing_pass_that_composition_changes(spark):
     rows = spark.createDataFrame([(c,) for c in chars] + [(quiet,)], "c string")
     told = dict(rows.select("c", F.col("c").rlike(tx.steady_class())).collect())
     assert all(told[c] for c in chars) and not told[quiet]
+
+
+def test_titles_follow_their_sql_on_odd_lines(spark, tmp_path):
+    """Quotes, the tail that a short title drops, line breaks other than a line feed, footnotes in other digits."""
+    import duckdb
+
+    from checks import q_text
+    from checks.registry import ORACLES
+
+    texts = [
+        "“Bankların fəaliyyəti haqqında” qayda”", '"Qaydalar toplusu"', "Vergi məcəlləsi  AZƏRBAYCAN RESPUBLİKASININ qanunu", " Azərbaycan Respublikasının",
+        "qısa birinci\x0bdaha uzun ikinci sətir\x0cüçüncü", "qısa sətir bir\rdaha uzun ikinci sətir\r\nson", "## Ümumi müddəalar [٣]", "bir sətir ikinci uzun sətir", "\n---\n", "",
+        "\n".join(["x"] * 29 + ["otuzuncu uzun sətir", "otuz birinci daha uzun sətir"]), None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["title"], r["short_title"]) for r in q_text.doc_title(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    assert got == {i: (t, s) for i, t, s in con.execute(ORACLES["doc_title"]).fetchall()}
+    assert got[1][1] == "Qaydalar toplusu" and got[2][1] == "Vergi məcəlləsi" and got[5][0] == "daha uzun ikinci sətir"
