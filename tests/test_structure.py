@@ -190,3 +190,8 @@ def test_segments_build_their_drafts_once(spark):
         total += size
         want[n] = (segment, content)
     assert got == want
+
+
+def test_only_tables_carry_their_lines(spark):
+    rows = nodes_of(spark, "Maddə 1. Ad\nmətn\n| ad | dəyər |\n| --- | --- |\n| a | 1 |")
+    assert [(r["kind"], r["line_count"], r["lines"] and len(r["lines"])) for r in rows] == [("article", 2, None), ("table", 3, 3)]
