@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, evidence, relations, structure
 from corpusloom.plans import corpus
 from corpusloom.session import persist_to_shared
@@ -195,3 +196,30 @@ def test_segments_build_their_drafts_once(spark):
 def test_only_tables_carry_their_lines(spark):
     rows = nodes_of(spark, "Maddə 1. Ad\nmətn\n| ad | dəyər |\n| --- | --- |\n| a | 1 |")
     assert [(r["kind"], r["line_count"], r["lines"] and len(r["lines"])) for r in rows] == [("article", 2, None), ("table", 3, 3)]
+
+
+def test_counts_of_chunks_add_up(spark):
+    """Counts of packs, split texts and parents are sums; they must be what counting the text itself gives."""
+    long = " ".join(f"söz{i}, cümlə {i} bitdi." for i in range(300))
+    text = "Maddə 1. Ad\n1.1. Alfa\na) bir-iki, üç\nb) dörd!\nc) beş\nMaddə 2. Uzun\n" + long + "\n| ad | dəyər |\n| --- | --- |\n| a_b | 1.5 |"
+    docs = spark.createDataFrame([("d", text)], "document_id string, text string")
+    facts = docs.selectExpr(
+        "document_id", "'Bir ad' document_title", "'v' document_version_id", "'Ad' short_title", "'c' category", "'f' source_file", "false has_pages"
+    )
+    nodes = structure.parse(docs)
+    units = chunking.atoms(nodes, facts)
+    assert "pack_tokens" not in units.columns  # counted for short units only
+    for r in units.select("token_count", "content_tokens", tx.tok_count(F.col("embedding_text")).alias("e"), tx.tok_count(F.col("content")).alias("c")).collect():
+        assert (r["token_count"], r["content_tokens"]) == (r["e"], r["c"])
+    children, parents = chunking.finish_chunks(chunking.parent_segments(chunking.pack_siblings(units)), nodes, facts)
+    got = children.select("embedding_token_count", "packing_reason", tx.tok_count(F.col("embedding_text")).alias("e")).collect()
+    assert {r["packing_reason"] for r in got} == {"short_sibling_pack", "oversized_split", "atomic_leaf"}
+    assert all(r["embedding_token_count"] == r["e"] for r in got)
+    assert all(r["token_count"] == r["c"] for r in parents.select("token_count", tx.tok_count(F.col("content")).alias("c")).collect())
+
+
+def test_decision_opening_lets_every_spelling_through(spark):
+    docs = spark.createDataFrame([(w, w + " 1") for w in ("QƏRARA ALIR", "qərara alır", "Qərara alir", "QƏRARA  ALIR", "qərar")], "document_id string, text string")
+    got = {r["document_id"]: r["decision"] for r in structure.document_lines(docs).collect()}
+    upper = {r["w"]: r["hit"] for r in docs.selectExpr("document_id w", "contains(upper(text), 'QƏRARA ALIR') hit").collect()}
+    assert got == upper and sum(got.values()) == 3
