@@ -198,6 +198,15 @@ def test_only_tables_carry_their_lines(spark):
     assert [(r["kind"], r["line_count"], r["lines"] and len(r["lines"])) for r in rows] == [("article", 2, None), ("table", 3, 3)]
 
 
+def test_only_tables_gather_their_lines_unstripped(spark):
+    docs = spark.createDataFrame([("d", "Maddə 1. Ad\n  mətn \n | ad |\n| --- |\n| a |")], "document_id string, text string")
+    owned = structure.assign_nodes(structure.assign_kinds(structure.classify_lines(structure.document_lines(docs))))
+    plan = structure.node_table(owned)._jdf.queryExecution().analyzed().toString()
+    assert "raw, CASE WHEN (kind" in plan
+    table = structure.parse(docs).filter("kind = 'table'").first()
+    assert [x["raw"] for x in table["lines"]] == [" | ad |", "| --- |", "| a |"] and structure.table_nodes(structure.parse(docs)).first()["headers"] == ["ad"]
+
+
 def test_counts_of_chunks_add_up(spark):
     """Counts of packs, split texts and parents are sums; they must be what counting the text itself gives."""
     long = " ".join(f"söz{i}, cümlə {i} bitdi." for i in range(300))
