@@ -120,15 +120,34 @@ def chunk_table(spark, sf):
     )
 
 
-def bm25_index(spark, sf):
-    """The stored index of the documents, written once per session."""
-    key = (spark.sparkContext.applicationId, sf, "bm25")
+def stored_index(spark, sf, name, build):
+    """A stored index, written once per session. The questions are a batch, which reads no postings."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _staged:
-        chunks = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("category"), "lang")
-        _staged[key] = lexical.store_index(lexical.lex_index(chunks, carry=("category", "lang")), shared_folder(spark))
+        _staged[key] = build()
     return _staged[key]
 
 
+def bm25_index(spark, sf):
+    def build():
+        chunks = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("category"), "lang")
+        return lexical.store_index(lexical.lex_index(chunks, carry=("category", "lang")), shared_folder(spark), postings=False, bounds=False)
+
+    return stored_index(spark, sf, "bm25", build)
+
+
+def bounded_index(spark, sf):
+    """The same index with block bounds."""
+    return stored_index(spark, sf, "bm25-bounds", lambda: lexical.with_bounds(bm25_index(spark, sf), shared_folder(spark)))
+
+
+def v1_index(spark, sf):
+    def build():
+        return lexical.store_index(lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws, compose=False), shared_folder(spark), postings=False, bounds=False)
+
+    return stored_index(spark, sf, "bm25-v1", build)
+
+
 RANKS = ["dense_rank", "sparse_rank", "bm25_rank"]
 
 
@@ -158,13 +177,12 @@ def lex_topk_v2(spark, sf):
 @query("lex_topk_blocks", f"WITH {lex_sql(k=10)} SELECT * FROM bm25")
 def lex_topk_blocks(spark, sf):
     """The same rows when blocks of documents that can't reach a query's ten best are left unread."""
-    return lexical.lex_topk(bm25_index(spark, sf), questions(spark, sf), k=10, skip=True)
+    return lexical.lex_topk(bounded_index(spark, sf), questions(spark, sf), k=10, skip=True)
 
 
 @query("lex_topk_v1", f"WITH {lex_sql(sql_tok_ws, k=10)} SELECT * FROM bm25")
 def lex_topk_v1(spark, sf):
-    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws, compose=False)
-    return lexical.lex_topk(index, questions(spark, sf), k=10)
+    return lexical.lex_topk(v1_index(spark, sf), questions(spark, sf), k=10)
 
 
 FILTER_SQL = lex_sql(k=10, where="(q.query_id % 3 = 0 OR d.lang = CASE q.query_id % 3 WHEN 1 THEN 'en' ELSE 'de' END)")
@@ -390,8 +408,7 @@ def retrieve_hybrid_v1(spark, sf):
 
 
 def v1_fused(spark, sf, per_source, top):
-    index = lexical.lex_index(passages(spark, sf), tokenize=tx.tok_ws, compose=False)
-    ranked = hybrid.sources(encoded_questions(spark, sf), index, points(spark, sf), per_source, sparse=False)
+    ranked = hybrid.sources(encoded_questions(spark, sf), v1_index(spark, sf), points(spark, sf), per_source, sparse=False)
     return fusion.fuse_rrf(ranked, top=top)
 
 

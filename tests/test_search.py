@@ -251,3 +251,38 @@ def test_pairs_are_scored_by_all_tasks(spark):
     plan = rerank.rerank(pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
     assert rerank.rerank(pairs, top=5).count() == 40
+
+
+def test_a_batch_leaves_no_row_for_a_pair(spark, tmp_path):
+    """Of 2,000 documents that all hold the words of 20 queries, tasks give k rows a query, not 40,000 sums."""
+    rows = [(f"d{i:05d}", "common shared " * (1 + i % 7) + f"w{i % 50}") for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(4)
+    stored = lexical.store_index(lexical.lex_index(chunks, tokenize=tx.tok_ws), str(tmp_path), postings=False, bounds=False)
+    asked = spark.createDataFrame([(q, f"common shared w{q}") for q in range(20)], "query_id long, query string")
+    found = lexical.lex_topk(stored, asked, 3)
+    got = as_rows(found)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "HashAggregate" not in plan
+    for q in (0, 7, 19):
+        assert [c for i, _, c, _ in got if i == q] == brute_bm25(dict(rows), f"common shared w{q}", 3)
+
+
+def test_products_with_negative_weights_and_ties(spark, monkeypatch):
+    """Small matrices, shared terms whose sum is zero or negative, null filters, and ties by the smaller id."""
+    from corpusloom.operators import products
+
+    monkeypatch.setattr(products, "CELLS", 12)
+    rows = [(i, ["a"] * (i % 3 > 0) + ["b"] * (i % 2) + ["c"] * (i % 5 == 0), [1.0] * ((i % 3 > 0) + i % 2 + (i % 5 == 0)), "xy"[i % 2]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "chunk_id long, terms array<string>, weights array<double>, lang string").repartition(3)
+    weights = {1: {"a": 1.0, "b": -1.0}, 2: {"b": -2.0, "c": 0.5}, 3: {"a": 1.0}}
+    langs = {1: None, 2: "x", 3: "y"}
+    asked = [{"query_id": q, "q_lang": v} for q, v in langs.items()]
+    sent = products.Batch(asked, [{"query_id": q, "term": t, "w": w} for q, ws in weights.items() for t, w in ws.items()], "term", ["lang"])
+    for only, keep in ((None, lambda s, held: True), ("shared", lambda s, held: held), ("positive", lambda s, held: s > 0)):
+        got = {}
+        for r in lexical.top_k(products.top_rows(frame, sent, 7, ["lang"], only), 7).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], r["score"])
+        for q, ws in weights.items():
+            want = [(i, sum(ws.get(t, 0) for t in ts), any(t in ws for t in ts)) for i, ts, _, lang in rows if langs[q] in (None, lang)]
+            want = sorted(((i, s) for i, s, held in want if keep(s, held)), key=lambda x: (-x[1], x[0]))[:7]
+            assert [got.get(q, {})[n] for n in sorted(got.get(q, {}))] == want, (only, q)
