@@ -10,7 +10,7 @@ Two sets of sizes a and b reach the threshold if they share T = ceil(0.9 / 1.9 (
    lists (its shingles are nearly all long) also uses its long ones, dealt to blocks of bounded size.
 3. Within a list, size, position and parity bitmaps, whose Hamming distance bounds the symmetric difference from below, leave
    out pairs that can't reach T. All three are exact bounds. Bitmaps grow with the set, so they stay sharp near the threshold.
-   A pair whose members come to a list from the same list before it was looked at there and is not proposed again.
+   Members bring the last lists they were in before. A pair that met in one of those was looked at there and is not proposed again.
 4. Every list first proposes its members to its centre, the largest class. Verified links give components, and the other
    pairs are proposed only between different components, so a large group of near copies costs its size, not its square.
 5. Verification follows DivideSkip: for a query, the short lists of its candidates are counted (no heap merge), and candidates that
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filled, persist_to_shared, slices, utf8_buffer, whole_runs
@@ -34,6 +34,8 @@ from .common import filled, persist_to_shared, slices, utf8_buffer, whole_runs
 SHORT = 400
 #: Pairs looked at together.
 PAIRS = 200_000
+#: Lists before this one that a member brings along: a near pair shares one of so many but for rare cases, which repeat the pair.
+SEEN = 8
 #: Bits of the parity bitmaps. The first fits sets of up to as many shingles, each further one four times as many.
 BITS = (512, 1024, 2048)
 
@@ -175,12 +177,29 @@ def _indexed(size: int, percent: int):
 PROPOSED = "a long, b long"
 
 
+def met_before(lists: pa.ChunkedArray, order: np.ndarray):
+    """Tells of members ``i, j``, numbered by ``order``, which pairs have a list of ``lists`` in common."""
+    rows = lists.to_pylist()
+    size = np.array([len(rows[k]) for k in order.tolist()], np.int64)
+    held = np.arange(SEEN) < size[:, None]
+    tokens = np.zeros(held.shape, np.int64)
+    tokens[held] = np.fromiter((t for k in order.tolist() for t in rows[k]), np.int64, int(size.sum()))
+
+    def met(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, theirs, there = np.zeros(len(i), bool), tokens[j], held[j]
+        for k in range(SEEN):
+            out |= ((tokens[i, k, None] == theirs) & there).any(1) & held[i, k]
+        return out
+
+    return met
+
+
 def _propose(percent: int, centres: bool):
     """Pairs of a list's members that can reach the threshold. ``centres``: only with the list's centre, and (x, x) for
     every other member x of a pair; else all pairs of different labels."""
 
     def chunk(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "led", "before")}
+        col = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label")}
         change = np.zeros(len(table), np.int64)
         change[1:] = (col["token"][1:] != col["token"][:-1]) | (col["low"][1:] != col["low"][:-1]) | (col["high"][1:] != col["high"][:-1])
         run = np.cumsum(change)
@@ -188,6 +207,7 @@ def _propose(percent: int, centres: bool):
         col, run = {k: v[order] for k, v in col.items()}, run[order]
         bitmaps = table.column("sketch").to_pylist()
         level, maps = folded([bitmaps[k] for k in order.tolist()])
+        met = met_before(table.column("earlier"), order)
         n, cid = col["n"].astype(np.int64), col["cid"]
         key = run << 32 | n
         stop = np.searchsorted(key, run << 32 | n * 100 // percent, "right")
@@ -213,21 +233,21 @@ def _propose(percent: int, centres: bool):
             need = overlap_needed(n[i], n[j], percent)
             at_i, at_j = np.where(chosen, col["place"][i], col["rank"][i]), np.where(chosen, col["place"][j], col["rank"][j])
             fit &= np.minimum(n[i] - at_i, n[j] - at_j) >= need
-            i, j, need, chosen = i[fit], j[fit], need[fit], chosen[fit]
+            i, j, need = i[fit], j[fit], need[fit]
             apart, least = np.zeros(len(i), np.int64), np.minimum(level[i], level[j])
             for k, bits in enumerate(maps):
                 these = np.flatnonzero(least == k)
                 apart[these] = np.bitwise_count(bits[i[these]] ^ bits[j[these]]).sum(1, dtype=np.int64)
             fit = apart <= n[i] + n[j] - 2 * need
-            i, j, chosen = i[fit], j[fit], chosen[fit]
-            if centres:
-                able = np.unique(np.concatenate([i, j]))
+            i, j = i[fit], j[fit]
+            fit = ~met(i, j)  # else both were in one list before this, where they were looked at with bounds no narrower
+            if centres:  # that list may have had another centre, so this one's pairs stay
+                able = np.unique(np.concatenate([i[fit], j[fit]]))
                 fit = (i == centre[i]) | (j == centre[i])
                 i, j = i[fit], j[fit]
                 alone = cid[np.setdiff1d(able, np.concatenate([i, j]))]
                 found.append(np.stack([alone, alone], 1))
-            else:  # both come from one list before this, where they were looked at with the same bounds
-                fit = ~(chosen & col["led"][i] & col["led"][j] & (col["before"][i] == col["before"][j]))
+            else:
                 i, j = i[fit], j[fit]
             x, y = cid[i], cid[j]
             found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
@@ -243,7 +263,7 @@ def _propose(percent: int, centres: bool):
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(3)
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in slices(whole, "text", 2 << 20)):
         packed = pa.array([packer.compress(t.encode("utf-8")) for t in batch.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), packed], ["doc_id", "mark", "packed"])
 
@@ -336,34 +356,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = persist_to_shared(classes, "join-classes")  # written, so the numbers stay
     p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
 
-    postings = classes.select("cid", "n", F.posexplode_outer("tokens").alias("rank", "token"), "tokens")
-    postings = postings.withColumn("before", F.when(F.col("rank") > 0, F.element_at("tokens", F.greatest("rank", F.lit(1))))).drop("tokens")
+    postings = classes.select("cid", "n", F.posexplode_outer("tokens").alias("rank", "token"))
     df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = persist_to_shared(postings.join(df, "token").withColumn("long", F.col("df") > short), "join-postings")
     long_ranks = shared.where("long").groupBy("cid").agg(F.array_sort(F.collect_list("rank")).alias("long_ranks"))  # a class's own, few
     none = F.array().cast("array<int>")
     spare = F.least(F.col("n"), p + F.floor(p / 8) + 6)
-    facts = classes.select("cid", "weight", "sketch").join(long_ranks, "cid", "left").withColumn("long_ranks", F.coalesce("long_ranks", none))
+    facts = classes.select("cid", "weight", "sketch")
 
     def located(rows: DataFrame) -> DataFrame:
         """Which prefix each posting is in: of the plain order (hp), or of the one with long lists last (sel)."""
+        rows = rows.join(long_ranks, "cid", "left").withColumn("long_ranks", F.coalesce("long_ranks", none))
         rows = rows.withColumn("over", spare - F.size("long_ranks") < p).withColumn("hp", F.col("rank") < p)
         rows = rows.withColumn("place", F.col("rank") - F.size(F.filter("long_ranks", lambda r: r < F.col("rank"))))
         rows = rows.withColumn("sel", ~F.col("long") & ~F.col("over") & (F.col("place") < p)).where("(sel or hp) and (not long or hp)")
-        rows = rows.withColumn("led", (F.col("rank") > 0) & ~F.array_contains("long_ranks", F.col("rank") - 1))
-        return rows.withColumn("before", F.coalesce("before", F.lit(0))).drop("long_ranks")
+        return rows.drop("long_ranks")
 
-    hard = located(shared.where("long").join(facts.select("cid", "long_ranks"), "cid")).where("over").select("token").distinct()
+    hard = located(shared.where("long")).where("over").select("token").distinct()
     hard = persist_to_shared(hard, "join-hard")
     easy = shared.where("not long").unionByName(shared.where("long").join(hard, "token", "left_semi"))
 
     def proposed(extra: DataFrame | None, name: str) -> DataFrame:
-        rows = easy.join(facts.withColumn("label", F.lit(0).cast("long")) if extra is None else facts.join(extra, "cid"), "cid")
-        rows = located(rows).withColumn("blocks", F.when(F.col("long"), F.ceil(F.col("df") / short)).otherwise(1))
+        # a class's lists in its order, at most as many as its prefix and an eighth; without spare room long ones pair as well
+        last = Window.partitionBy("cid").orderBy("rank").rowsBetween(-SEEN, -1)
+        rows = located(easy).withColumn("earlier", F.collect_list(F.when(~F.col("long") | F.col("over"), F.col("token"))).over(last))
+        rows = rows.join(facts.withColumn("label", F.lit(0).cast("long")) if extra is None else facts.join(extra, "cid"), "cid")
+        rows = rows.withColumn("blocks", F.when(F.col("long"), F.ceil(F.col("df") / short)).otherwise(1))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        rows = rows.select("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "led", "before", "sketch")
+        rows = rows.select("token", "low", "high", "block", "cid", "n", "place", "rank", "weight", "sel", "hp", "over", "label", "earlier", "sketch")
         rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return persist_to_shared(rows.mapInArrow(_propose(percent, extra is None), PROPOSED).distinct(), name)
 

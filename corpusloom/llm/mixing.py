@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist_to_shared, utf8_buffer
+from .common import persist_to_shared, slices, utf8_buffer
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -35,7 +35,8 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    # the running sums take some twenty times the text that is open
+    for batch in (piece for whole in batches for piece in slices(whole, "text", 2 << 20)):
         size = pa.array(word_counts(batch.column("text")), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("mark"), size], ["doc_id", "source", "mark", "size"])
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints, jaccard_join, licenses
@@ -90,6 +91,29 @@ def test_jaccard_components_of_texts_with_bitmaps_of_all_levels(spark):
         assert sorted(map(tuple, got)) == brute_components(rows, **{k: v for k, v in options.items() if k != "short"})
 
 
+def test_a_pair_is_proposed_in_the_first_of_its_lists():
+    sets = [np.arange(k, 400 + k, dtype=np.uint64) for k in range(4)]
+
+    def proposed(token, earlier, centres=False):
+        n = len(sets)
+        same = {"low": 0, "high": 0, "block": 0, "n": 400, "weight": 1, "place": 5, "rank": 5}
+        flags = {"sel": True, "hp": True, "over": False}
+        table = pa.table(
+            {"token": [token] * n, "cid": list(range(n)), "label": list(range(n)), **{k: [v] * n for k, v in (same | flags).items()},
+             "earlier": pa.array(earlier, pa.list_(pa.int64())), "sketch": [jaccard_join.parities(s) for s in sets]}
+        )
+        out = jaccard_join._propose(80, centres)(iter(table.to_batches()))
+        return sorted(p for b in out for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+
+    everyone = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    assert proposed(1, [[], [], [], []]) == everyone
+    # own lists stand between the common one and this
+    assert proposed(2, [[1, 10], [1], [11, 1], [12, 13]]) == [(0, 3), (1, 3), (2, 3)]
+    assert proposed(2, [[0], [], [], []]) == everyone
+    assert proposed(2, [[1, 10], [1], [11, 1], [12, 1]]) == []
+    assert proposed(2, [[1, 10], [1], [11, 1], [12, 1]], True) == [(0, 1), (0, 2), (0, 3)]
+
+
 def test_bitmaps_bound_the_difference_of_sets():
     draw = np.random.default_rng(4)
     for a, b in ((0, 3), (100, 120), (500, 520), (2040, 2060), (2000, 9000), (9000, 8800)):

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,13 @@ def test_mix(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r.n * r.copies + r.more for r in out)
 
 
+def test_sizes_are_counted_by_a_few_megabytes():
+    texts = ["ab " * 300_000] * 12
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(["a"] * 12), pa.array(range(12)), pa.array(texts)], ["doc_id", "source", "mark", "text"])
+    out = list(mixing._sized(iter([batch])))
+    assert max(b.num_rows for b in out) <= 3 and [n for b in out for n in b.column("size").to_pylist()] == [300_000] * 12
+
+
 def test_mix_of_a_thousand_equal_rows(spark):
     """Rows that repeat id and text are rounded one by one, not all or nothing."""
     rows = [(5, "b", "one two three four five")] * 1000 + [(k, "a", "w " * (k % 7)) for k in range(10, 300)] + [(k, "c", "w " * 9) for k in range(300, 500)]
