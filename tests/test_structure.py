@@ -232,3 +232,31 @@ def test_decision_opening_lets_every_spelling_through(spark):
     got = {r["document_id"]: r["decision"] for r in structure.document_lines(docs).collect()}
     upper = {r["w"]: r["hit"] for r in docs.selectExpr("document_id w", "contains(upper(text), 'QƏRARA ALIR') hit").collect()}
     assert got == upper and sum(got.values()) == 3
+
+
+def test_documents_keep_the_tasks_they_are_dealt_to(spark):
+    docs = spark.createDataFrame([(f"d{i}", "Maddə 1. Ad\n1. bir") for i in range(40)], "document_id string, text string")
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert given > 1 and structure.document_lines(docs).rdd.getNumPartitions() == given
+    assert structure.document_lines(docs, tasks=7).rdd.getNumPartitions() == 7
+
+
+def test_manifest_makes_texts_and_chunk_facts_once(spark, monkeypatch):
+    from checks import q_quality, registry
+
+    made = {"meta": 0, "node_chunks": 0}
+
+    def counted(name):
+        inner = getattr(q_quality, name)
+
+        def run(*args):
+            made[name] += 1
+            return inner(*args)
+
+        return run
+
+    monkeypatch.setattr(registry, "_staged", {})
+    for name in made:
+        monkeypatch.setattr(q_quality, name, counted(name))
+    q_quality.corpus_manifest(spark, "/root/testdata/sf0.001")
+    assert made == {"meta": 1, "node_chunks": 2}  # facts, and references
